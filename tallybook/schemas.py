@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from tallybook.functions.money import AMOUNT_TYPE, STORED_AVERAGE_TYPE, STORED_TOTAL_TYPE
+_TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampNTZType(),
+    "amount": T.DecimalType(10, 2),
+    "stored_total": T.DecimalType(15, 2),
+}
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def _struct(columns: str) -> T.StructType:
+    """A schema from ``name type, name type, ...``; needs no session, unlike a DDL string."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # Columns of the three raw feeds, all read as text.
@@ -29,11 +40,11 @@ LOAD_SCHEMAS = {
     ),
     "dim_books": _struct(
         "book_id bigint, title string, author string, category string, publication_year int, "
-        f"pages int, base_price {AMOUNT_TYPE}"
+        "pages int, base_price amount"
     ),
     "fact_sales": _struct(
-        f"transaction_id bigint, user_id bigint, book_id bigint, date_id int, amount {AMOUNT_TYPE}, "
-        f"quantity int, discount_amount {AMOUNT_TYPE}, transaction_timestamp timestamp_ntz"
+        "transaction_id bigint, user_id bigint, book_id bigint, date_id int, amount amount, "
+        "quantity int, discount_amount amount, transaction_timestamp timestamp"
     ),
 }
 
@@ -43,7 +54,7 @@ STAR_SCHEMAS = {
         "social_security_number string, state string, city string, user_segment string"
     ),
     "dim_books": _struct(
-        f"book_id bigint, title string, category string, base_price {AMOUNT_TYPE}, author string, "
+        "book_id bigint, title string, category string, base_price amount, author string, "
         "isbn string, publication_year int, pages int, publisher string, price_tier string, "
         "age_category string"
     ),
@@ -54,12 +65,12 @@ STAR_SCHEMAS = {
     ),
     "fact_sales": LOAD_SCHEMAS["fact_sales"],
     "fact_daily_sales_summary": _struct(
-        f"date_id int, total_revenue {STORED_TOTAL_TYPE}, transaction_count bigint, "
-        f"unique_users bigint, average_transaction_value {STORED_AVERAGE_TYPE}, total_quantity bigint"
+        "date_id int, total_revenue stored_total, transaction_count bigint, "
+        "unique_users bigint, average_transaction_value amount, total_quantity bigint"
     ),
     "fact_book_performance": _struct(
-        f"book_id bigint, total_sales bigint, total_revenue {STORED_TOTAL_TYPE}, "
-        f"average_price {STORED_AVERAGE_TYPE}, unique_customers bigint, first_sale_date date, "
+        "book_id bigint, total_sales bigint, total_revenue stored_total, "
+        "average_price amount, unique_customers bigint, first_sale_date date, "
         "last_sale_date date"
     ),
 }
