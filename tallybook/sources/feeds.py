@@ -117,7 +117,8 @@ def publish(spark: SparkSession, source: str, target: str, overwrite: bool = Fal
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether anything is stored at ``path``."""
     try:
-        return spark.read.format("binaryFile").load(path).isEmpty() is not None
+        spark.read.format("binaryFile").load(path)
+        return True
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return False

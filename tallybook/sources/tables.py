@@ -105,10 +105,10 @@ def register_views(views: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def list_tables(spark: SparkSession, pattern: str = "*") -> DataFrame:
-    """Names of the tables and views present, ordered."""
-    found = spark.sql(f"SHOW TABLES LIKE '{pattern}'")
-    return found.select(F.col("tableName").alias("table_name")).orderBy("table_name")
+def list_tables(spark: SparkSession, pattern: str = "%") -> DataFrame:
+    """Names of the tables and views present that match a LIKE pattern, ordered."""
+    names = spark.sql("SHOW TABLES").select(F.col("tableName").alias("table_name"))
+    return names.filter(F.col("table_name").like(pattern)).orderBy("table_name")
 
 
 def result_envelope(df: DataFrame, query_type: str, max_rows: int = 100_000) -> dict:
