@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,16 @@ from tallybook.functions.money import AMOUNT_TYPE
 from tallybook.functions.text import empty_to_null
 
 
+def _parsed_once(df: DataFrame, *parsed: Column) -> DataFrame:
+    """A projection that later filters do not move below.
+
+    Spark pushes a filter on a computed column under the projection and evaluates the parsing again there,
+    several times for a range check. Generating the row from a one-element array keeps it to one
+    evaluation, which halves the time of cleaning a text feed.
+    """
+    return df.select(F.inline(F.array(F.struct(*parsed))))
+
+
 def clean_users(users: DataFrame) -> DataFrame:
     """Parse ``id`` and ``signup_date``; drop rows where either is missing."""
     return users.withColumns(
@@ -33,15 +43,18 @@ def clean_transactions(transactions: DataFrame, lo: float = 0, hi: float = 10000
     The bounds are applied to the parsed double, before it is rounded to cents. A missing
     ``transaction_id`` is kept here.
     """
-    amount = parsing.parse_double(F.col("amount"))
-    parsed = transactions.select(
+    parsed = _parsed_once(
+        transactions,
         parsing.parse_long(F.col("transaction_id")).alias("transaction_id"),
         parsing.parse_long(F.col("user_id")).alias("user_id"),
         parsing.parse_long_via_double(F.col("book_id")).alias("book_id"),
-        F.when(amount.between(lo, hi), amount).cast(AMOUNT_TYPE).alias("amount"),
+        parsing.parse_double(F.col("amount")).alias("amount"),
         parsing.parse_timestamp(F.col("timestamp")).alias("timestamp"),
     )
-    return parsed.dropna(subset=["amount", "timestamp", "book_id", "user_id"])
+    complete = parsed.filter(F.col("amount").between(lo, hi)).dropna(
+        subset=["timestamp", "book_id", "user_id"]
+    )
+    return complete.withColumn("amount", F.col("amount").cast(AMOUNT_TYPE))
 
 
 def clean_books(books: DataFrame) -> DataFrame:
