@@ -7,7 +7,6 @@ derived from all rows of the tables. Reports that exist on both stars carry ``_l
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import date, datetime
 from functools import reduce
 
@@ -49,12 +48,12 @@ def li(name: str, report: Callable[[Star], DataFrame], sql: str | None) -> None:
     _REGISTRY[name] = (_on(b.lines_star, report), sql and o.on_lines(sql))
 
 
-def li_loaded(name: str, report: Callable[[Star], DataFrame], sql: str | None) -> None:
-    """For reports that read the sales several times: the order lines are joined and stored once."""
+def li_loaded(name: str, columns: str, report: Callable[[Star], DataFrame], sql: str | None) -> None:
+    """For reports that read the sales several times: the columns they use are joined and stored once."""
 
     def loaded(spark: SparkSession, sf_dir: str) -> Star:
         star = b.lines_star(spark, sf_dir)
-        return replace(star, sales=stored_once(star.sales, "fact_sales"))
+        return star.replace(sales=lambda: stored_once(star.sales.select(*columns.split()), "fact_sales"))
 
     _REGISTRY[name] = (_on(loaded, report), sql and o.on_lines(sql))
 
@@ -69,7 +68,7 @@ def plain(name: str, query: Query, sql: str | None) -> None:
 
 def with_stored_books(star: Star) -> Star:
     """The star with its book summary stored, as the reports that read it several times expect."""
-    return replace(star, book_performance=stored_once(summaries.book_performance_of(star), summaries.BOOKS))
+    return star.replace(book_performance=stored_once(summaries.book_performance_of(star), summaries.BOOKS))
 
 
 # ------------------------------------------------------------------------------------ sources and sinks
@@ -177,6 +176,27 @@ def s09(star):
 ev("s09_materialize", s09, o.MONTHLY_SUMMARY)
 
 
+def s11(star):
+    """The star registered table by table, listed, with the rows of each listed table."""
+    tables.register_views(star.tables())
+    counts = overview.table_counts(star)
+    return tables.list_tables(star.sales.sparkSession).join(counts, "table_name")
+
+
+ev("s11_list_tables", s11, o.TABLE_COUNTS)
+
+
+def s12(star):
+    """The envelope of a report, as one row."""
+    answer = tables.result_envelope(sales.daily_sales_trends(star, 30), "daily_sales_trends")
+    header = [(answer["query_type"], answer["row_count"])]
+    return star.sales.sparkSession.createDataFrame(header, "query_type string, row_count bigint")
+
+
+ev("s12_result_envelope", s12,
+   f", daily AS ({o.trends(30)}) SELECT 'daily_sales_trends' AS query_type, COUNT(*) AS row_count FROM daily")
+
+
 def s10(star):
     tables.register_views(views.published_views(with_stored_books(star)))
     return star.sales.sparkSession.sql(
@@ -345,9 +365,11 @@ li("q04_user_analytics_lines", customers.user_analytics, o.USER_ANALYTICS)
 ev("q05_category_performance", books.category_performance, o.CATEGORY)
 li("q05_category_performance_lines", books.category_performance, o.CATEGORY)
 ev("q06_sales_summary", overview.sales_summary, o.SUMMARY)
-li_loaded("q06_sales_summary_lines", overview.sales_summary, o.SUMMARY)
+li_loaded("q06_sales_summary_lines", "transaction_id user_id book_id date_id amount transaction_timestamp",
+          overview.sales_summary, o.SUMMARY)
 ev("q07_monthly_trends", lambda s: sales.monthly_trends(s, 12, AS_OF), o.monthly("DATE '2023-01-30'"))
-li_loaded("q07_monthly_trends_lines", lambda s: sales.monthly_trends(s, 48, date(2001, 8, 1)),
+li_loaded("q07_monthly_trends_lines", "transaction_id user_id book_id date_id amount transaction_timestamp",
+          lambda s: sales.monthly_trends(s, 48, date(2001, 8, 1)),
    o.monthly("DATE '1997-08-01'"))
 ev("q08_customer_segments", customers.customer_segments, o.segments(o.SPEND_BANDS))
 li("q08_customer_segments_lines", lambda s: customers.customer_segments(s, b.LINES_BANDS),
@@ -392,7 +414,8 @@ ev("q19_sales_by_category_range", lambda s: books.sales_by_category(s, FROM, TO)
 li("q19_sales_by_category_lines", lambda s: books.sales_by_category(s, LINES_FROM, LINES_TO),
    o.sales_by_category("d.full_date BETWEEN '1996-03-01' AND '1999-06-30'"))
 ev("q20_analytics_overview", overview.analytics_overview, o.OVERVIEW)
-li_loaded("q20_analytics_overview_lines", overview.analytics_overview, o.OVERVIEW)
+li_loaded("q20_analytics_overview_lines", "transaction_id user_id book_id amount",
+          overview.analytics_overview, o.OVERVIEW)
 ev("q21_user_segment_counts", customers.user_segment_counts, o.SEGMENT_COUNTS)
 ev("q22_hourly_pattern", sales.hourly_pattern, o.HOURS)
 ev("q23_geographic_distribution", customers.geographic_distribution, o.STATES)
@@ -414,7 +437,8 @@ li("v01_sales_with_dimensions_lines", views.v_sales_with_dimensions, o.V01)
 ev("v02_top_books", lambda s: views.v_top_books(with_stored_books(s)), o.V02)
 li("v02_top_books_lines", lambda s: views.v_top_books(with_stored_books(s)), o.V02)
 ev("v03_user_behavior", views.v_user_behavior, o.V03)
-li_loaded("v03_user_behavior_lines", views.v_user_behavior, o.V03)
+li_loaded("v03_user_behavior_lines", "transaction_id user_id book_id amount transaction_timestamp",
+          views.v_user_behavior, o.V03)
 ev("m01_daily_sales_summary", lambda s: summaries.daily_sales_summary(s.sales),
    f", {o.M01.strip()} SELECT * FROM daily")
 li("m01_daily_sales_summary_lines", lambda s: summaries.daily_sales_summary(s.sales),
@@ -428,7 +452,7 @@ li("m02_book_performance_lines", lambda s: summaries.book_performance(s.sales, s
 def m03(star):
     """Summaries stored for the sales up to ``TO``, then brought up to date with the later ones."""
     folder = new_folder(star.sales.sparkSession, "summaries")
-    early = replace(star, sales=facts.sales_between(star.sales, end=TO))
+    early = star.replace(sales=facts.sales_between(star.sales, end=TO))
     spark = star.sales.sparkSession
     for name in (summaries.DAILY, summaries.BOOKS):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -440,7 +464,8 @@ def m03(star):
 
 ev("m03_refresh_summaries", m03, f", {o.M02.strip()} SELECT * FROM performance")
 ev("m04_monthly_sales_summary", summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
-li_loaded("m04_monthly_sales_summary_lines", summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
+li_loaded("m04_monthly_sales_summary_lines", "transaction_id user_id book_id date_id amount",
+          summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
 ev("m05_category_performance", summaries.category_summary, o.CATEGORY_SUMMARY)
 ev("m06_refresh_materialized",
    lambda s: summaries.refresh_materialized(s, new_folder(s.sales.sparkSession, "aggregates"))[
@@ -533,7 +558,7 @@ ev("p05_retention", customers.retention, o.retention_select("monthly"))
 for _period in customers.RETENTION_MONTHS:
     li(f"p05_retention_{_period}_lines", lambda s, p=_period: customers.retention(s, p),
        o.retention_select(_period))
-li_loaded("p05_retention_metrics_lines", customers.retention_metrics, o.RETENTION_METRICS)
+li("p05_retention_metrics_lines", customers.retention_metrics, o.RETENTION_METRICS)
 ev("p06_trend_analysis", lambda s: insights.trend_analysis(sales.daily_sales_trends(s)),
    o.trend("total_revenue"))
 ev("p06_trend_points", lambda s: insights.trend_points(sales.daily_sales_trends(s), "unique_customers"),

@@ -201,11 +201,16 @@ FROM segments"""
 
 def segment_value(bands) -> str:
     return f"""
-, {PER_USER.strip()}
+, {PER_USER.strip()}, {retention("monthly").strip()}, months AS (
+  SELECT a.user_id, COUNT(*) AS months, COUNT(b.user_id) AS kept
+  FROM active a LEFT JOIN active b ON a.user_id = b.user_id AND b.p = a.p + 1
+  WHERE a.p < (SELECT MAX(p) FROM active) GROUP BY a.user_id)
 SELECT {spend_case(bands)} AS segment, COUNT(*) AS customer_count, {total("total_spent")} AS total_revenue,
        CAST({total("total_spent")} AS DOUBLE) / CAST(SUM(total_purchases) AS DOUBLE) AS average_order_value,
+       CASE WHEN SUM(months) > 0 THEN CAST(SUM(kept) AS DOUBLE) / CAST(SUM(months) AS DOUBLE) END
+         AS retention_rate,
        CAST({total("total_spent")} AS DOUBLE) / COUNT(*) AS lifetime_value
-FROM per_user GROUP BY 1"""
+FROM per_user LEFT JOIN months USING (user_id) GROUP BY 1"""
 
 
 AUTHORS = f"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.dates import date_id
 from tallybook.functions.money import AMOUNT_TYPE
-from tallybook.operators.dimensions import dim_books, dim_date, dim_users
+from tallybook.operators.dimensions import CALENDAR_END, CALENDAR_START, dim_books, dim_date, dim_users
 from tallybook.star import Star
 
 AS_OF = date(2024, 1, 30)
@@ -119,19 +119,21 @@ def line_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    users = dim_users(users_feed(spark, sf_dir).drop("_segment"), AS_OF)
-    return users, dim_books(books_feed(spark, sf_dir), AS_OF)
+def _star(spark: SparkSession, sf_dir: str, calendar: tuple[date, date], sales) -> Star:
+    return Star(
+        users=lambda: dim_users(users_feed(spark, sf_dir).drop("_segment"), AS_OF),
+        books=lambda: dim_books(books_feed(spark, sf_dir), AS_OF),
+        dates=lambda: dim_date(spark, *calendar),
+        sales=lambda: sales(spark, sf_dir),
+    )
 
 
 def events_star(spark: SparkSession, sf_dir: str) -> Star:
-    users, books = _dimensions(spark, sf_dir)
-    return Star(users, books, dim_date(spark), event_sales(spark, sf_dir))
+    return _star(spark, sf_dir, (CALENDAR_START, CALENDAR_END), event_sales)
 
 
 def lines_star(spark: SparkSession, sf_dir: str) -> Star:
-    users, books = _dimensions(spark, sf_dir)
-    return Star(users, books, dim_date(spark, *LINES_CALENDAR), line_sales(spark, sf_dir))
+    return _star(spark, sf_dir, LINES_CALENDAR, line_sales)
 
 
 def raw_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import calendar_days_between
@@ -80,15 +80,29 @@ def customer_segments(star: Star, bands=SPEND_BANDS, otherwise: str = SPEND_OTHE
 
 
 def segment_value(star: Star, bands=SPEND_BANDS, otherwise: str = SPEND_OTHERWISE) -> DataFrame:
-    """Average order value (revenue per transaction) and lifetime value (revenue per customer)."""
+    """Worth of each spend segment.
+
+    Average order value is revenue per transaction, lifetime value revenue per customer. The retention
+    rate is the share of the segment's active user-months that were followed by another active month,
+    leaving out the last month of the data, which has no successor yet.
+    """
+    activity = _activity(_user_periods(star, "monthly"))
+    last = activity.agg(F.max("_period").alias("last")).scalar()
+    months = (
+        activity.filter(F.col("_period") < last)
+        .groupBy("user_id")
+        .agg(F.count("*").alias("_months"), F.sum("_retained").alias("_kept"))
+    )
     revenue = total("total_spent")
     return (
         _spend_segments(star, bands, otherwise)
+        .join(months, "user_id", "left")
         .groupBy("segment")
         .agg(
             F.count("*").alias("customer_count"),
             revenue.alias("total_revenue"),
             ratio(revenue, F.sum("_n")).alias("average_order_value"),
+            ratio(F.sum("_kept"), F.sum("_months")).alias("retention_rate"),
             ratio(revenue, F.count("*")).alias("lifetime_value"),
         )
         .orderBy(F.col("total_revenue").desc(), "segment")
@@ -263,24 +277,31 @@ def _history_analytics(star: Star, theirs: DataFrame, user: DataFrame) -> DataFr
     )
 
 
-def _activity(star: Star, period: str) -> DataFrame:
-    """One row per user and period with a sale, saying whether the next period has one too.
+def _user_periods(star: Star, period: str) -> DataFrame:
+    """One row per user and period with a sale.
 
-    Periods are numbered in months since year 0 divided by the period length, so "next" is plus one. The
-    window runs per user over the periods of the calendar, never over the user's sales.
+    Periods are numbered: months since year 0, divided by the length of the period.
     """
     if period not in RETENTION_MONTHS:
         raise ValueError(f"period must be one of {sorted(RETENTION_MONTHS)}, got {period!r}")
-    length = RETENTION_MONTHS[period]
-    number = F.floor((F.col("year") * 12 + F.col("month") - 1) / length).cast("int")
-    calendar = star.dates.select("date_id", number.alias("_period"))
+    month = F.col("year") * 12 + F.col("month") - 1
+    calendar = star.dates.select("date_id", _coarser(month, period).alias("_period"))
     active = star.sales.select("user_id", "date_id").join(calendar, "date_id").select("user_id", "_period")
+    return active.filter(F.col("user_id").isNotNull()).distinct()
+
+
+def _coarser(month: Column, period: str) -> Column:
+    return F.floor(month / RETENTION_MONTHS[period]).cast("int")
+
+
+def _activity(user_periods: DataFrame) -> DataFrame:
+    """Whether each user is active in the following period too, as 0 or 1.
+
+    The window runs per user over the periods of the calendar, never over the user's sales.
+    """
     ahead = F.lead("_period").over(Window.partitionBy("user_id").orderBy("_period"))
-    return (
-        active.filter(F.col("user_id").isNotNull())
-        .distinct()
-        .withColumn("_retained", F.coalesce(ahead == F.col("_period") + 1, F.lit(False)).cast("int"))
-    )
+    followed = F.coalesce(ahead == F.col("_period") + 1, F.lit(False))
+    return user_periods.withColumn("_retained", followed.cast("int"))
 
 
 def retention(star: Star, period: str = "monthly") -> DataFrame:
@@ -288,9 +309,13 @@ def retention(star: Star, period: str = "monthly") -> DataFrame:
 
     The last period with sales has no next one yet: its retained count and rate are NULL.
     """
-    length = RETENTION_MONTHS.get(period, 1)
+    return _retention_of(_user_periods(star, period), period)
+
+
+def _retention_of(user_periods: DataFrame, period: str) -> DataFrame:
+    length = RETENTION_MONTHS[period]
     counts = (
-        _activity(star, period)
+        _activity(user_periods)
         .groupBy("_period")
         .agg(F.count("*").alias("active_users"), F.sum("_retained").alias("_retained"))
     )
@@ -312,10 +337,16 @@ def retention(star: Star, period: str = "monthly") -> DataFrame:
 
 
 def retention_metrics(star: Star) -> DataFrame:
-    """Overall retention per period length: retained over active, without the still open last period."""
+    """Overall retention per period length: retained over active, without the still open last period.
+
+    Every length starts from the same user-months, so the sales are read and shuffled once.
+    """
+    months = _user_periods(star, "monthly")
     rows = []
     for period in RETENTION_MONTHS:
-        closed = retention(star, period).filter(F.col("retained_users").isNotNull())
+        longer = months.select("user_id", _coarser(F.col("_period"), period).alias("_period"))
+        user_periods = months if period == "monthly" else longer.distinct()
+        closed = _retention_of(user_periods, period).filter(F.col("retained_users").isNotNull())
         rate = closed.agg(ratio(F.sum("retained_users"), F.sum("active_users")).alias("retention_rate"))
         rows.append(rate.select(F.lit(f"{period}_retention").alias("metric"), "retention_rate"))
     stacked = rows[0]

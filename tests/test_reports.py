@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -212,7 +211,7 @@ def test_table_stats(events):
 
 
 def test_empty_sales(events):
-    nothing = replace(events, sales=events.sales.filter("date_id < 0"))
+    nothing = events.replace(sales=events.sales.filter("date_id < 0"))
     assert sales.daily_sales_trends(nothing).count() == 0
     assert books.top_books(nothing).count() == 0
     assert customers.customer_segments(nothing).count() == 0

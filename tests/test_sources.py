@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
@@ -147,7 +146,7 @@ def test_refresh_summaries(spark, events, tmp_path):
     for name in (summaries.DAILY, summaries.BOOKS):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     early, late = F.lit(datetime(2024, 2, 1)), F.lit(datetime(2024, 2, 2))
-    first = replace(events, sales=events.sales.filter("date_id <= 20240120"))
+    first = events.replace(sales=events.sales.filter("date_id <= 20240120"))
     summaries.refresh_summaries(first, root, now=early.cast("timestamp_ntz"))
     changed = events.sales.filter("date_id > 20240120")
     full = summaries.refresh_summaries(events, root, changed, late.cast("timestamp_ntz"))
@@ -174,7 +173,7 @@ def test_materialized_views(spark, events, tmp_path):
 
 
 def test_views_and_envelope(spark, events):
-    stored = replace(events, book_performance=stored_once(summaries.book_performance_of(events), "books"))
+    stored = events.replace(book_performance=stored_once(summaries.book_performance_of(events), "books"))
     tables.register_views(views.published_views(stored))
     assert spark.table("v_user_behavior").count() == 1500
     answer = tables.result_envelope(sales.daily_sales_trends(events, 7), "daily_sales_trends")
@@ -186,7 +185,7 @@ def test_views_and_envelope(spark, events):
 
 
 def test_data_status_survives_a_failing_probe(spark, events):
-    broken = replace(events, dates=spark.range(1).selectExpr("raise_error('no calendar') AS date_id", "DATE'2024-01-01' AS full_date"))
+    broken = events.replace(dates=spark.range(1).selectExpr("raise_error('no calendar') AS date_id", "DATE'2024-01-01' AS full_date"))
     status = overview.data_status(broken, AS_OF)
     assert "error" in status["fact_sales_date_range"]
     assert status["current_date"]["data"] == [{"current_date": AS_OF}]
