@@ -7,7 +7,7 @@ derived from all rows of the tables. Reports that exist on both stars carry ``_l
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +31,7 @@ AS_OF = b.AS_OF
 FROM, TO = date(2024, 1, 8), date(2024, 1, 21)
 LINES_FROM, LINES_TO = date(1996, 3, 1), date(1999, 6, 30)
 USER, BOOK, CATEGORY, SEGMENT = 41, 36, "PROMO", "Medium Value"
-FIRST_LOAD, SECOND_LOAD = datetime(2024, 2, 1), datetime(2024, 2, 2)
+FIRST_LOAD, SECOND_LOAD = "2024-02-01 00:00:00", "2024-02-02 00:00:00"
 
 _REGISTRY: dict[str, tuple[Query, str | None]] = {}
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,22 @@ def beside(*parts: DataFrame, on: list[str]) -> DataFrame:
     return reduce(join, parts)
 
 
+def grouped(
+    df: DataFrame, keys: list[str], additive: list[Column], distinct: Mapping[str, str]
+) -> DataFrame:
+    """Additive measures and distinct counts per group, each computed on its own.
+
+    Additive measures shrink to one row per group in every map task. In one aggregate with a distinct
+    count they would instead be carried along with every (group, value) pair through the shuffle.
+    ``distinct`` maps the name of each count to the column counted.
+    """
+    counts = [
+        df.select(*keys, col).groupBy(*keys).agg(F.countDistinct(col).alias(name))
+        for name, col in distinct.items()
+    ]
+    return beside(df.groupBy(*keys).agg(*additive), *counts, on=keys)
+
+
 def one_row(*parts: DataFrame) -> DataFrame:
     """One-row aggregates with different columns merged into a single row.
 

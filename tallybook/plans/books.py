@@ -183,7 +183,8 @@ def top_books_by_metric(
     quantity = F.sum("quantity").cast("bigint").alias("total_quantity")
     if metric == "customers":
         # Here the distinct count decides the order, so it is needed for every book.
-        per_book = sales_per_book(sales, quantity, F.countDistinct("user_id").alias("unique_customers"))
+        customers = sales.groupBy("book_id").agg(F.countDistinct("user_id").alias("unique_customers"))
+        per_book = beside(sales_per_book(sales, quantity), customers, on=["book_id"])
         ranked = top_rank(per_book.join(books, "book_id"), measure, "book_id", limit)
     else:
         per_book = sales_per_book(sales, quantity)

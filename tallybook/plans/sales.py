@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.dates import date_id, day, midnight, period_start
 from tallybook.functions.money import ratio, total
-from tallybook.operators.combining import beside
+from tallybook.operators.combining import beside, grouped
 from tallybook.operators.facts import check_range, sales_between
 from tallybook.star import Star
 
 
 def _per_day(star: Star, sales: DataFrame) -> DataFrame:
-    measures = sales.groupBy("date_id").agg(
-        F.count("transaction_id").alias("total_transactions"),
-        total("amount").alias("total_revenue"),
-        F.count("amount").alias("_amounts"),
-        F.countDistinct("user_id").alias("unique_customers"),
-        F.sum("quantity").cast("bigint").alias("total_books_sold"),
+    measures = grouped(
+        sales,
+        ["date_id"],
+        [
+            F.count("transaction_id").alias("total_transactions"),
+            total("amount").alias("total_revenue"),
+            F.count("amount").alias("_amounts"),
+            F.sum("quantity").cast("bigint").alias("total_books_sold"),
+        ],
+        {"unique_customers": "user_id"},
     )
     return (
         measures.join(star.dates, "date_id")
@@ -125,18 +129,17 @@ def sales_by_grain(star: Star, grain: str = "monthly") -> DataFrame:
     """Sales per day, week, month or year."""
     period = period_start(F.col("full_date"), grain)
     calendar = star.dates.select("date_id", period.alias("period_start"))
-    return (
-        star.sales.join(calendar, "date_id")
-        .groupBy("period_start")
-        .agg(
+    return grouped(
+        star.sales.join(calendar, "date_id"),
+        ["period_start"],
+        [
             total("amount").alias("total_revenue"),
             F.count("transaction_id").alias("transaction_count"),
-            F.countDistinct("user_id").alias("unique_customers"),
             ratio(total("amount"), F.count("amount")).alias("average_transaction_value"),
             F.sum("quantity").cast("bigint").alias("total_books_sold"),
-        )
-        .orderBy("period_start")
-    )
+        ],
+        {"unique_customers": "user_id"},
+    ).orderBy("period_start")
 
 
 def recent_sales(star: Star, days: int = 30, limit: int = 10, as_of: date | None = None) -> DataFrame:

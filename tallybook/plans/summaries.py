@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.dates import date_id, day
 from tallybook.functions.money import STORED_TOTAL_TYPE, ratio, stored_average, total
-from tallybook.operators.combining import beside
+from tallybook.operators.combining import beside, grouped
 from tallybook.operators.facts import check_range
 from tallybook.plans.books import sales_per_book
+from tallybook.schemas import STAR_SCHEMAS
 from tallybook.sources.tables import materialize, refresh, upsert_table
 from tallybook.star import Star
 
@@ -25,30 +26,36 @@ CATEGORY_VIEW = "mv_category_performance"
 def daily_sales_summary(sales: DataFrame) -> DataFrame:
     """Revenue, transactions, users and copies per day, with money stored to the cent."""
     exact = total("amount")
-    return sales.groupBy("date_id").agg(
-        exact.cast(STORED_TOTAL_TYPE).alias("total_revenue"),
-        F.count("transaction_id").alias("transaction_count"),
-        F.countDistinct("user_id").alias("unique_users"),
-        stored_average(exact, F.count("amount")).alias("average_transaction_value"),
-        F.sum("quantity").cast("bigint").alias("total_quantity"),
+    summary = grouped(
+        sales,
+        ["date_id"],
+        [
+            exact.cast(STORED_TOTAL_TYPE).alias("total_revenue"),
+            F.count("transaction_id").alias("transaction_count"),
+            stored_average(exact, F.count("amount")).alias("average_transaction_value"),
+            F.sum("quantity").cast("bigint").alias("total_quantity"),
+        ],
+        {"unique_users": "user_id"},
     )
+    return summary.select(*STAR_SCHEMAS[DAILY].names)
 
 
 def book_performance(sales: DataFrame, dates: DataFrame) -> DataFrame:
-    """Sales, revenue, customers and first and last sale day per book.
-
-    The first and last day are found on ``date_id``, whose order is the order of the days.
-    """
-    dated = sales.join(dates.select("date_id", "full_date"), "date_id")
+    """Sales, revenue, customers and first and last sale day per book."""
     exact = total("amount")
-    return dated.groupBy("book_id").agg(
-        F.count("transaction_id").alias("total_sales"),
-        exact.cast(STORED_TOTAL_TYPE).alias("total_revenue"),
-        stored_average(exact, F.count("amount")).alias("average_price"),
-        F.countDistinct("user_id").alias("unique_customers"),
-        F.min("full_date").alias("first_sale_date"),
-        F.max("full_date").alias("last_sale_date"),
+    performance = grouped(
+        sales.join(dates.select("date_id", "full_date"), "date_id"),
+        ["book_id"],
+        [
+            F.count("transaction_id").alias("total_sales"),
+            exact.cast(STORED_TOTAL_TYPE).alias("total_revenue"),
+            stored_average(exact, F.count("amount")).alias("average_price"),
+            F.min("full_date").alias("first_sale_date"),
+            F.max("full_date").alias("last_sale_date"),
+        ],
+        {"unique_customers": "user_id"},
     )
+    return performance.select(*STAR_SCHEMAS[BOOKS].names)
 
 
 def daily_of(star: Star) -> DataFrame:

@@ -79,11 +79,13 @@ def v_top_books(star: Star, slices: int = DEFAULT_SLICES) -> DataFrame:
 def v_user_behavior(star: Star) -> DataFrame:
     """Every user, with or without sales: transactions, spend, first and last purchase, variety.
 
-    Each distinct count has its own aggregate. Both are hashed by ``user_id`` at the end, as the user join
-    needs them.
+    Additive measures, distinct transactions and distinct books and categories have their own aggregates.
+    All end up hashed by ``user_id``, as the user join needs them.
     """
+    transactions = star.sales.groupBy("user_id").agg(
+        F.countDistinct("transaction_id").alias("_transactions")
+    )
     purchases = star.sales.groupBy("user_id").agg(
-        F.countDistinct("transaction_id").alias("_transactions"),
         total("amount").alias("total_spent"),
         F.count("amount").alias("_amounts"),
         F.min("transaction_timestamp").alias("first_purchase"),
@@ -100,6 +102,7 @@ def v_user_behavior(star: Star) -> DataFrame:
     )
     return (
         star.users.select("user_id", "name", "user_segment", "signup_date")
+        .join(transactions, "user_id", "left")
         .join(purchases, "user_id", "left")
         .join(variety, "user_id", "left")
         .select(

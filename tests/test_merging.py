@@ -13,7 +13,7 @@ EARLY, LATE = datetime(2024, 1, 1), datetime(2024, 2, 1)
 
 
 def _at(moment):
-    return F.lit(moment).cast("timestamp_ntz")
+    return F.lit(str(moment)).cast("timestamp_ntz")
 
 
 def test_insert_ignore(spark):

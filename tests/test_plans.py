@@ -48,6 +48,8 @@ def test_one_distinct_column_per_aggregate(events):
         books.category_performance(events),
         sales.monthly_trends(events, 12, date(2024, 1, 30)),
         summaries.monthly_sales_summary(events),
+        summaries.daily_sales_summary(events.sales),
+        summaries.book_performance(events.sales, events.dates),
     ):
         assert "Expand" not in plan(report)
 

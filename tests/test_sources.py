@@ -145,7 +145,7 @@ def test_refresh_summaries(spark, events, tmp_path):
     root = str(tmp_path)
     for name in (summaries.DAILY, summaries.BOOKS):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    early, late = F.lit(datetime(2024, 2, 1)), F.lit(datetime(2024, 2, 2))
+    early, late = F.lit("2024-02-01 00:00:00"), F.lit("2024-02-02 00:00:00")
     first = events.replace(sales=events.sales.filter("date_id <= 20240120"))
     summaries.refresh_summaries(first, root, now=early.cast("timestamp_ntz"))
     changed = events.sales.filter("date_id > 20240120")
