@@ -6,6 +6,8 @@ derived from all rows of the tables. Reports that exist on both stars carry ``_l
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 from datetime import date
 from functools import reduce
@@ -13,12 +15,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import oracle as o
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import mart_sql as o
 from tallybook import bindings as b
 from tallybook.functions import labels, rules
 from tallybook.functions.dates import date_id
 from tallybook.operators import cleaning, dimensions, facts, merging, paging, quality
-from tallybook.pipeline import build_star, clean_feeds, load_all
+from tallybook.pipeline import clean_feeds, load_all
 from tallybook.plans import books, catalog, customers, dashboard, insights, overview, sales, summaries, views
 from tallybook.schemas import LOAD_SCHEMAS, TEXT_WIDTHS
 from tallybook.sources import feeds, tables
@@ -71,6 +75,11 @@ def with_stored_books(star: Star) -> Star:
     return star.replace(book_performance=stored_once(summaries.book_performance_of(star), summaries.BOOKS))
 
 
+def _unused_prefix(folder: str) -> str:
+    """A table name prefix that is as fresh as the folder."""
+    return f"t{folder[-12:]}_"
+
+
 # ------------------------------------------------------------------------------------ sources and sinks
 
 
@@ -169,7 +178,7 @@ ev("s08_create_star", s08, "SELECT * FROM sales")
 
 def s09(star):
     folder = new_folder(star.sales.sparkSession, "aggregates")
-    name = "monthly_" + folder[-12:]
+    name = _unused_prefix(folder) + summaries.MONTHLY_VIEW
     return tables.materialize(summaries.monthly_sales_summary(star), name, folder)
 
 
@@ -343,7 +352,7 @@ raw("d09_fact_sales", lambda r: facts.fact_sales(clean_feeds(r)["transactions"])
 def d10(raw_feeds):
     spark = raw_feeds["users"].sparkSession
     star, _ = load_all(spark, raw_feeds, new_folder(spark, "warehouse"), AS_OF)
-    return star.daily
+    return star.daily.drop("created_at", "updated_at")
 
 
 # Books without a known year are rejected from the dimension; the sales of those books stay in the fact.
@@ -452,13 +461,11 @@ li("m02_book_performance_lines", lambda s: summaries.book_performance(s.sales, s
 def m03(star):
     """Summaries stored for the sales up to ``TO``, then brought up to date with the later ones."""
     folder = new_folder(star.sales.sparkSession, "summaries")
+    prefix = _unused_prefix(folder)
     early = star.replace(sales=facts.sales_between(star.sales, end=TO))
-    spark = star.sales.sparkSession
-    for name in (summaries.DAILY, summaries.BOOKS):
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    summaries.refresh_summaries(early, folder)
+    summaries.refresh_summaries(early, folder, prefix=prefix)
     later = facts.sales_between(star.sales, start=date(2024, 1, 22))
-    refreshed = summaries.refresh_summaries(star, folder, changed=later)
+    refreshed = summaries.refresh_summaries(star, folder, changed=later, prefix=prefix)
     return refreshed[summaries.BOOKS].drop("created_at", "updated_at")
 
 
@@ -467,10 +474,16 @@ ev("m04_monthly_sales_summary", summaries.monthly_sales_summary, o.MONTHLY_SUMMA
 li_loaded("m04_monthly_sales_summary_lines", "transaction_id user_id book_id date_id amount",
           summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
 ev("m05_category_performance", summaries.category_summary, o.CATEGORY_SUMMARY)
-ev("m06_refresh_materialized",
-   lambda s: summaries.refresh_materialized(s, new_folder(s.sales.sparkSession, "aggregates"))[
-       summaries.CATEGORY_VIEW],
-   o.CATEGORY_SUMMARY)
+
+
+def m06(star):
+    folder = new_folder(star.sales.sparkSession, "aggregates")
+    prefix = _unused_prefix(folder)
+    summaries.create_materialized(star, folder, prefix)
+    return summaries.refresh_materialized(star, folder, prefix)[summaries.CATEGORY_VIEW]
+
+
+ev("m06_refresh_materialized", m06, o.CATEGORY_SUMMARY)
 
 # -------------------------------------------------------------------------------------------- dashboard
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tallybook.operators import cleaning, dimensions
 from tallybook.operators.facts import fact_sales
-from tallybook.operators.merging import insert_ignore
+from tallybook.operators.merging import insert_ignore, stamped
 from tallybook.operators.quality import not_null_rules, split_rejects
 from tallybook.plans.summaries import book_performance, daily_sales_summary
 from tallybook.schemas import NOT_NULL, TEXT_WIDTHS
-from tallybook.sources.tables import create_star, read_star, write_dimension, write_fact
+from tallybook.sources.tables import read_star, write_dimension, write_fact
 from tallybook.star import Star
 
 
@@ -66,23 +66,25 @@ def load_all(
     dates: DataFrame | None = None,
     lo: float = 0,
     hi: float = 10000,
+    now: Column | None = None,
 ) -> tuple[Star, dict[str, DataFrame]]:
     """Load everything below ``root``: calendar, users, books, sales, then the two summaries.
 
-    The summaries are computed from the stored sales, not from the feeds again.
+    The summaries are computed from the stored sales, not from the feeds again. All tables but the
+    calendar carry ``created_at`` and ``updated_at``.
     """
     calendar = dimensions.dim_date(spark, style="mon1") if dates is None else dates
     feeds = clean_feeds(raw, lo, hi)
     star, rejects = build_star(feeds, calendar, as_of)
     root = root.rstrip("/")
     write_dimension(star.dates, f"{root}/dim_date")
-    write_dimension(star.users, f"{root}/dim_users")
-    write_dimension(star.books, f"{root}/dim_books")
-    write_fact(star.sales, f"{root}/fact_sales")
+    write_dimension(stamped(star.users, now), f"{root}/dim_users")
+    write_dimension(stamped(star.books, now), f"{root}/dim_books")
+    write_fact(stamped(star.sales, now), f"{root}/fact_sales")
     stored = read_star(spark, root, summaries=False)
-    write_dimension(daily_sales_summary(stored.sales), f"{root}/fact_daily_sales_summary")
-    write_dimension(book_performance(stored.sales, stored.dates), f"{root}/fact_book_performance")
+    daily = daily_sales_summary(stored.sales)
+    per_book = book_performance(stored.sales, stored.dates)
+    write_dimension(stamped(daily, now), f"{root}/fact_daily_sales_summary")
+    write_dimension(stamped(per_book, now), f"{root}/fact_book_performance")
     return read_star(spark, root), rejects
 
-
-__all__ = ["build_star", "clean_feeds", "create_star", "load_all"]

@@ -115,39 +115,46 @@ def category_summary(star: Star) -> DataFrame:
 
 
 def refresh_summaries(
-    star: Star, root: str, changed: DataFrame | None = None, now: Column | None = None
+    star: Star,
+    root: str,
+    changed: DataFrame | None = None,
+    now: Column | None = None,
+    prefix: str = "",
 ) -> dict[str, DataFrame]:
     """Bring the stored daily and book summaries up to date with the sales.
 
     With ``changed`` (the sales added or corrected since the last run, at least ``date_id`` and
     ``book_id``) only the days and books they touch are recomputed from the fact; the upsert leaves the
-    other rows alone.
+    other rows alone. A summary that is not stored yet is computed whole. ``prefix`` goes before the table names, a database for instance.
     """
-    for_days, for_books = star.sales, star.sales
-    if changed is not None:
-        for_days = for_days.join(changed.select("date_id").distinct(), "date_id", "left_semi")
-        for_books = for_books.join(changed.select("book_id").distinct(), "book_id", "left_semi")
-    daily = daily_sales_summary(for_days)
-    books = book_performance(for_books, star.dates)
+    spark = star.sales.sparkSession
+
+    def touched(name: str, key: str) -> DataFrame:
+        if changed is None or not spark.catalog.tableExists(prefix + name):
+            return star.sales
+        return star.sales.join(changed.select(key).distinct(), key, "left_semi")
+
+    daily = daily_sales_summary(touched(DAILY, "date_id"))
+    books = book_performance(touched(BOOKS, "book_id"), star.dates)
     return {
-        DAILY: upsert_table(daily, DAILY, "date_id", root, now),
-        BOOKS: upsert_table(books, BOOKS, "book_id", root, now),
+        DAILY: upsert_table(daily, prefix + DAILY, "date_id", root, now),
+        BOOKS: upsert_table(books, prefix + BOOKS, "book_id", root, now),
     }
 
 
-def create_materialized(star: Star, root: str) -> dict[str, DataFrame]:
+def create_materialized(star: Star, root: str, prefix: str = "") -> dict[str, DataFrame]:
     """Store the monthly and category aggregates unless they are stored already."""
     return {
-        MONTHLY_VIEW: materialize(monthly_sales_summary(star), MONTHLY_VIEW, root),
-        CATEGORY_VIEW: materialize(category_summary(star), CATEGORY_VIEW, root),
+        MONTHLY_VIEW: materialize(monthly_sales_summary(star), prefix + MONTHLY_VIEW, root),
+        CATEGORY_VIEW: materialize(category_summary(star), prefix + CATEGORY_VIEW, root),
     }
 
 
-def refresh_materialized(star: Star, root: str) -> dict[str, DataFrame]:
+def refresh_materialized(star: Star, root: str, prefix: str = "") -> dict[str, DataFrame]:
     """Recompute the monthly and category aggregates; readers keep the old version meanwhile."""
     return {
-        MONTHLY_VIEW: refresh(monthly_sales_summary(star), MONTHLY_VIEW, root),
-        CATEGORY_VIEW: refresh(category_summary(star), CATEGORY_VIEW, root),
+        MONTHLY_VIEW: refresh(monthly_sales_summary(star), prefix + MONTHLY_VIEW, root),
+        CATEGORY_VIEW: refresh(category_summary(star), prefix + CATEGORY_VIEW, root),
     }
 
 

@@ -38,10 +38,11 @@ def create_star(star: Star, root: str, overwrite: bool = True) -> Star:
     root = root.rstrip("/")
     mode = "overwrite" if overwrite else "errorifexists"
     spark = star.sales.sparkSession
-    for name, df in star.tables().items():
+    stored = star.tables()
+    for name, df in stored.items():
         path = f"{root}/{name}"
         write_fact(df, path, mode) if name == "fact_sales" else write_dimension(df, path, mode)
-    return read_star(spark, root, summaries=star.daily is not None)
+    return read_star(spark, root, summaries="fact_daily_sales_summary" in stored)
 
 
 def read_star(spark: SparkSession, root: str, summaries: bool = True) -> Star:
