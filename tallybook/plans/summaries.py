@@ -125,7 +125,8 @@ def refresh_summaries(
 
     With ``changed`` (the sales added or corrected since the last run, at least ``date_id`` and
     ``book_id``) only the days and books they touch are recomputed from the fact; the upsert leaves the
-    other rows alone. A summary that is not stored yet is computed whole. ``prefix`` goes before the table names, a database for instance.
+    other rows alone. A summary that is not stored yet is computed whole. ``prefix`` goes before the table
+    names, a database for instance.
     """
     spark = star.sales.sparkSession
 
