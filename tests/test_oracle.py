@@ -22,7 +22,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF_DIR).toArrow()
-    assert differences(got, duck.execute(ORACLE[name]).to_arrow_table()) == []
+    assert differences(got, duck.sql(ORACLE[name]).to_arrow_table()) == []
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
