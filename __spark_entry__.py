@@ -6,6 +6,7 @@ derived from all rows of the tables. Reports that exist on both stars carry ``_l
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -630,6 +631,26 @@ UNION ALL (SELECT 'top_customers', CAST(user_id AS VARCHAR), CAST(total_spent AS
            ORDER BY total_spent DESC, user_id LIMIT 5)""")
 
 
+# ------------------------------------------------------------------- optional operators for training data
+
+
+def _optional(*modules: str) -> None:
+    """Queries of modules that may be absent; an import that fails for another reason still fails."""
+    for module in modules:
+        try:
+            found = importlib.import_module(module)
+        except ModuleNotFoundError as error:
+            if error.name is None or not (module == error.name or module.startswith(f"{error.name}.")):
+                raise
+            continue
+        sql = found.oracle_sql()
+        for name, query in found.queries().items():
+            plain(name, query, sql.get(name))
+
+
+_optional("tallybook.llm.queries", "corpus_pipeline")
+
+
 # ------------------------------------------------------------------------------------------- entry points
 
 
