@@ -56,7 +56,7 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(slash + rest)
         value = F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))
         out = F.when(fits, value) if out is None else out.when(fits, value)
-    return out
+    return F.lit(None).cast("struct<rule: string, verdict: string>") if out is None else out
 
 
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
