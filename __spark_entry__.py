@@ -9,12 +9,14 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,7 +25,7 @@ from tallybook import bindings as b
 from tallybook.functions import labels, rules
 from tallybook.functions.dates import date_id
 from tallybook.operators import cleaning, dimensions, facts, merging, paging, quality
-from tallybook.pipeline import clean_feeds, load_all
+from tallybook.pipeline import clean_feeds, load_all, load_counts
 from tallybook.plans import books, catalog, customers, dashboard, insights, overview, sales, summaries, views
 from tallybook.schemas import LOAD_SCHEMAS, TEXT_WIDTHS
 from tallybook.sources import feeds, tables
@@ -50,17 +52,7 @@ def ev(name: str, report: Callable[[Star], DataFrame], sql: str | None) -> None:
 
 
 def li(name: str, report: Callable[[Star], DataFrame], sql: str | None) -> None:
-    _REGISTRY[name] = (_on(b.lines_star, report), sql and o.on_lines(sql))
-
-
-def li_loaded(name: str, columns: str, report: Callable[[Star], DataFrame], sql: str | None) -> None:
-    """For reports that read the sales several times: the columns they use are joined and stored once."""
-
-    def loaded(spark: SparkSession, sf_dir: str) -> Star:
-        star = b.lines_star(spark, sf_dir)
-        return star.replace(sales=lambda: stored_once(star.sales.select(*columns.split()), "fact_sales"))
-
-    _REGISTRY[name] = (_on(loaded, report), sql and o.on_lines(sql))
+    _REGISTRY[name] = (_on(b.stored_lines_star, report), sql and o.on_lines(sql))
 
 
 def raw(name: str, report: Callable[[dict[str, DataFrame]], DataFrame], sql: str | None) -> None:
@@ -81,6 +73,13 @@ def _unused_prefix(folder: str) -> str:
     return f"t{folder[-12:]}_"
 
 
+def _taken_out(spark: SparkSession, name: str, *others: str) -> DataFrame:
+    """The files of a stored table, after this job's tables left the catalog."""
+    path = tables.location(spark, name)
+    tables.drop_stored(spark, name, *others)
+    return spark.read.parquet(path)
+
+
 # ------------------------------------------------------------------------------------ sources and sinks
 
 
@@ -91,8 +90,8 @@ def _feed_folder(raw_feeds: dict[str, DataFrame]) -> str:
     return folder
 
 
-def s01(raw_feeds):
-    return feeds.read_raw(raw_feeds["users"].sparkSession, _feed_folder(raw_feeds))["transactions"]
+def s01(name):
+    return lambda r: feeds.read_raw(r["users"].sparkSession, _feed_folder(r))[name]
 
 
 def _curated_folder(raw_feeds: dict[str, DataFrame]) -> str:
@@ -104,10 +103,28 @@ def _curated_folder(raw_feeds: dict[str, DataFrame]) -> str:
     return folder
 
 
-def s02(raw_feeds):
-    spark = raw_feeds["users"].sparkSession
-    loaded, _ = feeds.copy_star(spark, _curated_folder(raw_feeds))["fact_sales"]
-    return loaded
+def s02(name):
+    return lambda r: feeds.copy_star(r["users"].sparkSession, _curated_folder(r))[name][0]
+
+
+def s02_rejects(spark, sf_dir):
+    """All events as curated lines, each kind but purchases and sign-ups with a fault: loaded rows, and rejects by reason."""
+    fields = [F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.get_json_object("props", "$.k"), F.lit("20240101"),
+              F.col("value").cast("decimal(10,2)").cast("string"), F.lit("1"), F.lit("0.0"), F.lit("2024-01-01 10:00:00")]
+    kind = F.col("event_type")
+    line = (
+        F.when(kind == "click", F.concat_ws(",", *fields[:3]))
+        .when(kind == "error", F.concat_ws(",", *fields, F.lit("more")))
+        .when(kind == "view", F.concat_ws(",", fields[0], F.lit("u"), *fields[2:]))
+        .otherwise(F.concat_ws(",", *fields))
+    )
+    schema = LOAD_SCHEMAS["fact_sales"]
+    path = new_folder(spark, "faulty")
+    lines = b.table(spark, sf_dir, "events").select(line.alias(",".join(schema.names)))
+    lines.write.options(header=True, sep="\x01", quote="\x00").csv(path)
+    loaded, rejected = feeds.copy_csv(spark, path, schema, multi_line=False)
+    whole = loaded.agg(F.count("*").alias("row_count")).select(F.lit("loaded").alias("outcome"), "row_count")
+    return whole.unionByName(quality.reject_counts(rejected).withColumnRenamed("reason", "outcome"))
 
 
 def s03(raw_feeds):
@@ -116,24 +133,58 @@ def s03(raw_feeds):
     return feeds.copy_csv(spark, path, LOAD_SCHEMAS["dim_users"], TEXT_WIDTHS["dim_users"])[0]
 
 
-def s04(raw_feeds):
-    spark = raw_feeds["users"].sparkSession
-    target = new_folder(spark, "published")
-    feeds.publish(spark, _feed_folder(raw_feeds), target)
-    return feeds.read_raw(spark, target)["users"]
-
-
-raw("s01_read_raw", s01, """
-SELECT transaction_id, user_id, nullif(book_id, '') AS book_id, amount, timestamp FROM raw_transactions""")
-raw("s02_copy_csv", s02, o.FACT)
+def s03_text(spark, sf_dir):
+    """Every text written as CSV and loaded again: quotes, line breaks and blanks survive."""
+    path = new_folder(spark, "texts")
+    feeds.write_csv(b.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(8), path)
+    return feeds.copy_csv(spark, path, T.StructType.fromDDL("doc_id bigint, text string"))[0]
+
+
+def s04(name):
+    def published(raw_feeds):
+        spark = raw_feeds["users"].sparkSession
+        target = new_folder(spark, "published")
+        feeds.publish(spark, _feed_folder(raw_feeds), target)
+        return feeds.read_raw(spark, target)[name]
+
+    return published
+
+
+_RAW_TRANSACTIONS = (
+    "SELECT transaction_id, user_id, nullif(book_id, '') AS book_id, amount, timestamp FROM raw_transactions"
+)
+_RAW_USERS = "SELECT id, name, email, location, signup_date, social_security_number FROM raw_users"
+_RAW_BOOKS = (
+    "SELECT book_id, title, category, base_price, author, isbn, publication_year, pages, publisher FROM raw_books"
+)
+raw("s01_read_raw", s01("transactions"), _RAW_TRANSACTIONS)
+raw("s01_read_raw_users", s01("users"), _RAW_USERS)
+raw("s01_read_raw_books", s01("books"), _RAW_BOOKS)
+raw("s02_copy_csv", s02("fact_sales"), o.FACT)
+raw("s02_copy_csv_users", s02("dim_users"),
+    "SELECT user_id, name, email, location, CAST(signup_date AS DATE) AS signup_date, "
+    f"social_security_number FROM ({o.USERS_FILE})")
+plain("s02_copy_rejects", s02_rejects, """
+SELECT 'loaded' AS outcome, COUNT(*) AS row_count FROM events WHERE event_type NOT IN ('click', 'error', 'view')
+UNION ALL SELECT 'number of fields or quotes', COUNT(*) FROM events WHERE event_type IN ('click', 'error')
+UNION ALL SELECT 'user_id does not convert', COUNT(*) FROM events WHERE event_type = 'view'""")
+plain("s03_write_csv_text", s03_text, "SELECT doc_id, nullif(text, '') AS text FROM documents")
 raw("s03_write_csv", s03, "SELECT user_id, name, email, location, CAST(signup_date AS DATE) AS signup_date, "
     f"social_security_number FROM ({o.USERS_FILE})")
-raw("s04_publish", s04,
-    "SELECT id, name, email, location, signup_date, social_security_number FROM raw_users")
+raw("s04_publish", s04("users"), _RAW_USERS)
+raw("s04_publish_books", s04("books"), _RAW_BOOKS)
+raw("s04_publish_transactions", s04("transactions"), _RAW_TRANSACTIONS)
 
 FIRST_ORDER = ("transaction_timestamp", "user_id", "book_id", "amount", "quantity")
-li("s05_insert_ignore", lambda s: merging.insert_ignore(s.sales, "transaction_id", *FIRST_ORDER),
-   o.FIRST_LINES)
+
+
+def s05(star):
+    """Lines from ``LINES_FROM`` on inserted into the earlier ones, which hold many of their ids."""
+    early = merging.insert_ignore(star.sales.filter(F.col("date_id") < date_id(F.lit(LINES_FROM))), "transaction_id", *FIRST_ORDER)
+    return merging.insert_ignore(facts.sales_between(star.sales, start=LINES_FROM), "transaction_id", *FIRST_ORDER, target=early)
+
+
+li("s05_insert_ignore", s05, o.FIRST_LINES)
 
 
 def s06(raw_feeds):
@@ -180,7 +231,8 @@ ev("s08_create_star", s08, "SELECT * FROM sales")
 def s09(star):
     folder = new_folder(star.sales.sparkSession, "aggregates")
     name = _unused_prefix(folder) + summaries.MONTHLY_VIEW
-    return tables.materialize(summaries.monthly_sales_summary(star), name, folder)
+    tables.materialize(summaries.monthly_sales_summary(star), name, folder)
+    return _taken_out(star.sales.sparkSession, name)
 
 
 ev("s09_materialize", s09, o.MONTHLY_SUMMARY)
@@ -188,33 +240,41 @@ ev("s09_materialize", s09, o.MONTHLY_SUMMARY)
 
 def s11(star):
     """The star registered table by table, listed, with the rows of each listed table."""
-    tables.register_views(star.tables())
-    counts = overview.table_counts(star)
-    return tables.list_tables(star.sales.sparkSession).join(counts, "table_name")
+    spark, prefix = star.sales.sparkSession, _unused_prefix(uuid.uuid4().hex)
+    registered = {prefix + name: df for name, df in star.tables().items()}
+    tables.register_views(registered)
+    listed = tables.list_tables(spark, f"{prefix}%").select(F.substring("table_name", len(prefix) + 1, 100).alias("table_name"))
+    tables.drop_views(spark, *registered)
+    return listed.join(overview.table_counts(star), "table_name")
 
 
 ev("s11_list_tables", s11, o.TABLE_COUNTS)
 
 
-def s12(star):
-    """The envelope of a report, as one row."""
-    answer = tables.result_envelope(sales.daily_sales_trends(star, 30), "daily_sales_trends")
-    header = [(answer["query_type"], answer["row_count"])]
-    return star.sales.sparkSession.createDataFrame(header, "query_type string, row_count bigint")
+def s12(part):
+    return lambda star: tables.result_envelope(sales.daily_sales_trends(star, 30), "daily_sales_trends")[part].drop("timestamp")
 
 
-ev("s12_result_envelope", s12,
+ev("s12_result_envelope", s12("header"),
    f", daily AS ({o.trends(30)}) SELECT 'daily_sales_trends' AS query_type, COUNT(*) AS row_count FROM daily")
+ev("s12_result_envelope_rows", s12("data"), o.trends(30))
 
 
 def s10(star):
-    tables.register_views(views.published_views(with_stored_books(star)))
-    return star.sales.sparkSession.sql(
+    spark, prefix = star.sales.sparkSession, _unused_prefix(uuid.uuid4().hex)
+    registered = {prefix + name: df for name, df in views.published_views(with_stored_books(star)).items()}
+    tables.register_views(registered)
+    joined = spark.sql(
         "SELECT s.book_category, COUNT(*) AS sales, COUNT(DISTINCT t.book_id) AS top_ten_books "
-        "FROM v_sales_with_dimensions s LEFT JOIN v_top_books t "
+        f"FROM {prefix}v_sales_with_dimensions s LEFT JOIN {prefix}v_top_books t "
         "ON s.book_title = t.title AND s.book_author = t.author AND t.revenue_rank <= 10 "
         "GROUP BY s.book_category"
     )
+    users = spark.sql(f"SELECT COUNT(*) AS sales FROM {prefix}v_user_behavior").select(
+        F.lit("(users)").alias("book_category"), "sales", F.lit(0).cast("bigint").alias("top_ten_books")
+    )
+    tables.drop_views(spark, *registered)
+    return joined.unionByName(users)
 
 
 ev("s10_register_views", s10, f"""
@@ -223,7 +283,8 @@ ev("s10_register_views", s10, f"""
   FROM books b JOIN performance p USING (book_id))
 SELECT s.book_category, COUNT(*) AS sales, COUNT(DISTINCT t.book_id) AS top_ten_books
 FROM v_sales s LEFT JOIN v_top t
-ON s.book_title = t.title AND s.book_author = t.author AND t.revenue_rank <= 10 GROUP BY s.book_category""")
+ON s.book_title = t.title AND s.book_author = t.author AND t.revenue_rank <= 10 GROUP BY s.book_category
+UNION ALL SELECT '(users)', COUNT(*), 0 FROM users""")
 
 # ---------------------------------------------------------------------------------- cleaning and quality
 
@@ -267,9 +328,17 @@ raw("c09_fill_null_text",
 raw("c10_truncate_text",
     lambda r: cleaning.truncate_text(r["users"], {"name": 12, "location": 8}).select("id", "name", "location"),
     "SELECT id, left(name, 12) AS name, left(location, 8) AS location FROM raw_users")
-plain("c11_repair_utf8",
-      lambda s, d: cleaning.repair_utf8(b.table(s, d, "documents").select("doc_id", "text")),
-      "SELECT doc_id, text FROM documents")
+
+
+def c11(spark, sf_dir):
+    """Texts of one language end in a byte that is no UTF-8."""
+    byte = F.when(F.col("lang") == "de", F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    broken = F.concat(F.encode("text", "UTF-8"), byte).cast("string").alias("text")
+    return cleaning.repair_utf8(b.table(spark, sf_dir, "documents").select("doc_id", broken))
+
+
+plain("c11_repair_utf8", c11,
+      "SELECT doc_id, CASE WHEN lang = 'de' THEN text || chr(65533) ELSE text END AS text FROM documents")
 raw("c12_drop_negative",
     lambda r: cleaning.drop_negative(cleaning.clean_transactions(r["transactions"], lo=-10000)),
     """SELECT TRY_CAST(transaction_id AS BIGINT) AS transaction_id, TRY_CAST(user_id AS BIGINT) AS user_id,
@@ -295,25 +364,31 @@ raw("c15_check_foreign_key",
     ),
     f"""SELECT {o.CLEAN_TRANSACTIONS} FROM clean_transactions
 WHERE user_id NOT IN (SELECT id FROM clean_users)""")
-ev("c16_check_rules",
+
+
+def c16_email(star):
+    """Users of one city have a malformed address."""
+    email = F.when(F.col("city") == "CHINA", F.regexp_replace("email", "@", " at ")).otherwise(F.col("email"))
+    broken = quality.check_rules(star.users.select("user_id", email.alias("email")), {"email": rules.valid_email(F.col("email"))})
+    return broken.select("user_id", F.explode("reject_reasons").alias("reason"))
+
+
+ev("c16_check_rules", c16_email,
+   "SELECT user_id, 'email' AS reason FROM users WHERE city = 'CHINA'")
+ev("c16_check_rules_year",
    lambda s: quality.check_rules(
-       s.books.select("book_id", "publication_year", F.col("title").alias("email")),
-       {
-           "publication year": rules.valid_publication_year(F.col("publication_year"), date(2020, 6, 30)),
-           "email": rules.valid_email(F.col("email")),
-       },
+       s.books.select("book_id", "publication_year"),
+       {"publication year": rules.valid_publication_year(F.col("publication_year"), date(2009, 6, 30))},
    ).select("book_id", F.explode("reject_reasons").alias("reason")),
    """SELECT book_id, 'publication year' AS reason FROM books
-WHERE NOT (publication_year BETWEEN 1900 AND 2021)
-UNION ALL SELECT book_id, 'email' FROM books
-WHERE NOT regexp_matches(title, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$', 'i')""")
+WHERE NOT (publication_year BETWEEN 1900 AND 2010)""")
 li("c16_check_rules_lines",
    lambda s: quality.check_rules(
-       s.sales.select("transaction_id", F.col("transaction_timestamp").cast("date").alias("full_date")),
+       s.sales.select("transaction_id", F.date_add(F.col("transaction_timestamp").cast("date"), 8000).alias("full_date")),
        {"calendar day": rules.valid_calendar_day(F.col("full_date"))},
    ).select("transaction_id", "full_date"),
-   """SELECT transaction_id, CAST(transaction_timestamp AS DATE) AS full_date FROM sales
-WHERE transaction_timestamp < TIMESTAMP '2020-01-01'""")
+   """SELECT transaction_id, CAST(transaction_timestamp AS DATE) + 8000 AS full_date FROM sales
+WHERE CAST(transaction_timestamp AS DATE) + 8000 < DATE '2020-01-01'""")
 li("c17_page", lambda s: paging.page(s.sales, "transaction_timestamp", "transaction_id", "book_id", "user_id",
                                      "amount", "quantity", limit=500, offset=250),
    """SELECT * FROM sales
@@ -350,18 +425,53 @@ raw("d08_dim_books", lambda r: dimensions.dim_books(cleaning.clean_books(r["book
 raw("d09_fact_sales", lambda r: facts.fact_sales(clean_feeds(r)["transactions"]), o.FACT)
 
 
-def d10(raw_feeds):
+def d10(table):
+    def loaded(raw_feeds):
+        spark = raw_feeds["users"].sparkSession
+        star, _ = load_all(spark, raw_feeds, new_folder(spark, "warehouse"), AS_OF)
+        return star.tables()[table].drop("created_at", "updated_at")
+
+    return loaded
+
+
+def d10_counts(raw_feeds):
+    """Stored and rejected rows of a load in which every user occurs twice."""
     spark = raw_feeds["users"].sparkSession
-    star, _ = load_all(spark, raw_feeds, new_folder(spark, "warehouse"), AS_OF)
-    return star.daily.drop("created_at", "updated_at")
+    twice = {**raw_feeds, "users": raw_feeds["users"].unionByName(raw_feeds["users"])}
+    return load_counts(*load_all(spark, twice, new_folder(spark, "warehouse"), AS_OF))
+
+
+def d10_append(raw_feeds):
+    """Two loads whose sales overlap for two weeks, the second one appended."""
+    spark, root = raw_feeds["users"].sparkSession, new_folder(raw_feeds["users"].sparkSession, "warehouse")
+    early = raw_feeds["transactions"].filter("timestamp < '2024-01-22'")
+    late = raw_feeds["transactions"].filter("timestamp >= '2024-01-08'")
+    load_all(spark, {**raw_feeds, "transactions": early}, root, AS_OF)
+    return load_all(spark, {**raw_feeds, "transactions": late}, root, AS_OF, mode="append")
 
 
 # Books without a known year are rejected from the dimension; the sales of those books stay in the fact.
-raw("d10_load_all", d10, f", sales AS ({o.FACT}), {o.M01.strip()} SELECT * FROM daily")
+_LOADED = f", sales AS ({o.FACT})"
+raw("d10_load_all", d10(summaries.DAILY), f"{_LOADED}, {o.M01.strip()} SELECT * FROM daily")
+raw("d10_load_all_users", d10("dim_users"), o.DIM_USERS)
+raw("d10_load_all_books", d10("dim_books"), f"SELECT * FROM ({o.DIM_BOOKS}) WHERE publication_year IS NOT NULL")
+raw("d10_load_all_sales", d10("fact_sales"), o.FACT)
+raw("d10_load_append", lambda r: d10_append(r)[0].sales.drop("created_at", "updated_at"), o.FACT)
+raw("d10_load_append_counts", lambda r: load_counts(*d10_append(r)).filter("table_name = 'fact_sales'"), f"""{_LOADED}
+SELECT 'fact_sales' AS table_name, 'stored' AS outcome, COUNT(*) AS row_count FROM sales
+UNION ALL SELECT 'fact_sales', 'duplicate key', COUNT(*) FROM sales WHERE date_id BETWEEN 20240108 AND 20240121""")
+raw("d10_load_rejects", d10_counts, f"""{_LOADED}, shaped_users AS ({o.DIM_USERS}), shaped_books AS ({o.DIM_BOOKS})
+SELECT 'dim_users' AS table_name, 'stored' AS outcome, COUNT(*) AS row_count FROM shaped_users
+UNION ALL SELECT 'dim_users', 'duplicate key', COUNT(*) FROM shaped_users
+UNION ALL SELECT 'dim_books', 'stored', COUNT(*) FROM shaped_books WHERE publication_year IS NOT NULL
+UNION ALL SELECT 'dim_books', 'publication_year is null', COUNT(*) FROM shaped_books WHERE publication_year IS NULL
+UNION ALL SELECT 'fact_sales', 'stored', COUNT(*) FROM sales""")
 
 # ------------------------------------------------------------------------------------------------ reports
 
 ev("q01_daily_sales_trends", lambda s: sales.daily_sales_trends(s, 30), o.trends(30))
+ev("q01_daily_sales_one_end", lambda s: sales.daily_sales(s, start=FROM), o.trends(30))
+ev("q01_daily_sales_both_ends", lambda s: sales.daily_sales(s, FROM, TO), o.by_range("2024-01-08", "2024-01-21"))
 ev("q01_daily_sales_trends_7", lambda s: sales.daily_sales_trends(s, 7), o.trends(7))
 li("q01_daily_sales_trends_lines", lambda s: sales.daily_sales_trends(s, 365), o.trends(365))
 ev("q02_daily_sales_by_range", lambda s: sales.daily_sales_by_range(s, FROM, TO),
@@ -375,11 +485,9 @@ li("q04_user_analytics_lines", customers.user_analytics, o.USER_ANALYTICS)
 ev("q05_category_performance", books.category_performance, o.CATEGORY)
 li("q05_category_performance_lines", books.category_performance, o.CATEGORY)
 ev("q06_sales_summary", overview.sales_summary, o.SUMMARY)
-li_loaded("q06_sales_summary_lines", "transaction_id user_id book_id date_id amount transaction_timestamp",
-          overview.sales_summary, o.SUMMARY)
+li("q06_sales_summary_lines", overview.sales_summary, o.SUMMARY)
 ev("q07_monthly_trends", lambda s: sales.monthly_trends(s, 12, AS_OF), o.monthly("DATE '2023-01-30'"))
-li_loaded("q07_monthly_trends_lines", "transaction_id user_id book_id date_id amount transaction_timestamp",
-          lambda s: sales.monthly_trends(s, 48, date(2001, 8, 1)),
+li("q07_monthly_trends_lines", lambda s: sales.monthly_trends(s, 48, date(2001, 8, 1)),
    o.monthly("DATE '1997-08-01'"))
 ev("q08_customer_segments", customers.customer_segments, o.segments(o.SPEND_BANDS))
 li("q08_customer_segments_lines", lambda s: customers.customer_segments(s, b.LINES_BANDS),
@@ -390,7 +498,18 @@ ev("q10a_table_counts", overview.table_counts, o.TABLE_COUNTS)
 ev("q10b_fact_date_range", overview.fact_date_range, o.FACT_RANGE)
 li("q10b_fact_date_range_lines", overview.fact_date_range, o.FACT_RANGE)
 ev("q10c_recent_sales", lambda s: sales.recent_sales(s, 30, 10, AS_OF), o.RECENT)
-ev("q10d_data_status", lambda s: overview.data_status_report(s, AS_OF), o.STATUS)
+_TODAY = f"UNION ALL SELECT 'current_date', 'current_date', CAST({o.AS_OF} AS VARCHAR)"
+ev("q10d_data_status", lambda s: overview.data_status_report(s, AS_OF), f"{o.STATUS} {_TODAY}")
+
+
+def q10d_missing(spark, sf_dir):
+    """The status of a star whose books are not there."""
+    return overview.data_status_report(b.events_star(spark, sf_dir).replace(books=lambda: spark.read.parquet(f"{sf_dir}/no_such_table")), AS_OF)
+
+
+plain("q10d_data_status_missing", q10d_missing, o.on_events(f"""{o.STATUS} {_TODAY}""").replace(
+    "SELECT 'table_counts' AS probe, table_name AS item, CAST(row_count AS VARCHAR) AS value FROM counts",
+    "SELECT 'table_counts' AS probe, 'error' AS item, 'PATH_NOT_FOUND' AS value"))
 ev("q11_users_page", lambda s: customers.users_page(s, limit=200, offset=25),
    f"SELECT {o.USER_COLUMNS} FROM users ORDER BY user_id LIMIT 200 OFFSET 25")
 ev("q12_user_by_id", lambda s: customers.user_by_id(s, USER),
@@ -424,13 +543,29 @@ ev("q19_sales_by_category_range", lambda s: books.sales_by_category(s, FROM, TO)
 li("q19_sales_by_category_lines", lambda s: books.sales_by_category(s, LINES_FROM, LINES_TO),
    o.sales_by_category("d.full_date BETWEEN '1996-03-01' AND '1999-06-30'"))
 ev("q20_analytics_overview", overview.analytics_overview, o.OVERVIEW)
-li_loaded("q20_analytics_overview_lines", "transaction_id user_id book_id amount",
-          overview.analytics_overview, o.OVERVIEW)
+li("q20_analytics_overview_lines", overview.analytics_overview, o.OVERVIEW)
 ev("q21_user_segment_counts", customers.user_segment_counts, o.SEGMENT_COUNTS)
 ev("q22_hourly_pattern", sales.hourly_pattern, o.HOURS)
 ev("q23_geographic_distribution", customers.geographic_distribution, o.STATES)
 ev("q24_user_behavior_analytics", overview.user_behavior_rows, o.BEHAVIOR_ROWS)
-ev("q24_user_behavior_maps", overview.user_behavior_analytics, None)
+
+
+def q24_maps(star):
+    """The maps of the report as rows again."""
+    one = overview.user_behavior_analytics(star)
+
+    def part(section: str, entries, key: str, value: str) -> DataFrame:
+        return one.select(F.explode(entries).alias("e")).select(
+            F.lit(section).alias("section"), F.col(f"e.{key}").cast("string").alias("item"), F.col(f"e.{value}").cast("double").alias("value")
+        )
+
+    maps = ("user_segments", "retention_metrics", "geographic_distribution")
+    rows = [part(m, F.map_entries(m), "key", "value") for m in maps]
+    rows.append(part("hourly_distribution", F.col("hourly_distribution"), "hour", "transaction_count"))
+    return reduce(lambda a, c: a.unionByName(c), rows)
+
+
+ev("q24_user_behavior_maps", q24_maps, o.BEHAVIOR_ROWS)
 ev("q25_sales_trends", lambda s: summaries.sales_trends(s, 14, AS_OF), f"""
 , {o.M01.strip()}
 SELECT full_date, total_revenue, transaction_count, unique_users, average_transaction_value
@@ -438,7 +573,18 @@ FROM daily JOIN dates USING (date_id) WHERE full_date >= {o.AS_OF} - 14""")
 ev("q26_top_customers", customers.top_customers, o.TOP_CUSTOMERS)
 li("q26_top_customers_lines", customers.top_customers, o.TOP_CUSTOMERS)
 ev("q27_table_stats", overview.table_stats, o.TABLE_STATS)
-ev("q27_table_stats_approx", lambda s: overview.table_stats(s, "approx"), None)
+
+
+def q27_approx(star):
+    """Exact rows and missing values, and whether each sketched distinct count is within 15 percent of the exact one."""
+    keys = ["table_name", "column_name"]
+    exact = overview.table_stats(star).select(*keys, F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.15 * F.col("exact")
+    return overview.table_stats(star, "approx").join(exact, keys).select(*keys, "row_count", "null_count", near.alias("near"))
+
+
+ev("q27_table_stats_approx", q27_approx,
+   f"SELECT table_name, column_name, row_count, null_count, TRUE AS near FROM ({o.TABLE_STATS})")
 
 # ------------------------------------------------------------------------------------ views and summaries
 
@@ -447,8 +593,7 @@ li("v01_sales_with_dimensions_lines", views.v_sales_with_dimensions, o.V01)
 ev("v02_top_books", lambda s: views.v_top_books(with_stored_books(s)), o.V02)
 li("v02_top_books_lines", lambda s: views.v_top_books(with_stored_books(s)), o.V02)
 ev("v03_user_behavior", views.v_user_behavior, o.V03)
-li_loaded("v03_user_behavior_lines", "transaction_id user_id book_id amount transaction_timestamp",
-          views.v_user_behavior, o.V03)
+li("v03_user_behavior_lines", views.v_user_behavior, o.V03)
 ev("m01_daily_sales_summary", lambda s: summaries.daily_sales_summary(s.sales),
    f", {o.M01.strip()} SELECT * FROM daily")
 li("m01_daily_sales_summary_lines", lambda s: summaries.daily_sales_summary(s.sales),
@@ -459,32 +604,44 @@ li("m02_book_performance_lines", lambda s: summaries.book_performance(s.sales, s
    f", {o.M02.strip()} SELECT * FROM performance")
 
 
-def m03(star):
+def m03(name):
     """Summaries stored for the sales up to ``TO``, then brought up to date with the later ones."""
-    folder = new_folder(star.sales.sparkSession, "summaries")
-    prefix = _unused_prefix(folder)
-    early = star.replace(sales=facts.sales_between(star.sales, end=TO))
-    summaries.refresh_summaries(early, folder, prefix=prefix)
-    later = facts.sales_between(star.sales, start=date(2024, 1, 22))
-    refreshed = summaries.refresh_summaries(star, folder, changed=later, prefix=prefix)
-    return refreshed[summaries.BOOKS].drop("created_at", "updated_at")
 
+    def refreshed(star):
+        spark = star.sales.sparkSession
+        folder = new_folder(spark, "summaries")
+        prefix = _unused_prefix(folder)
+        early = star.replace(sales=facts.sales_between(star.sales, end=TO))
+        summaries.refresh_summaries(early, folder, prefix=prefix)
+        later = facts.sales_between(star.sales, start=date(2024, 1, 22))
+        summaries.refresh_summaries(star, folder, changed=later, prefix=prefix)
+        kept = _taken_out(spark, prefix + name, prefix + summaries.DAILY, prefix + summaries.BOOKS)
+        return kept.drop("created_at", "updated_at")
+
+    return refreshed
 
-ev("m03_refresh_summaries", m03, f", {o.M02.strip()} SELECT * FROM performance")
+
+ev("m03_refresh_summaries", m03(summaries.BOOKS), f", {o.M02.strip()} SELECT * FROM performance")
+ev("m03_refresh_summaries_daily", m03(summaries.DAILY), f", {o.M01.strip()} SELECT * FROM daily")
 ev("m04_monthly_sales_summary", summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
-li_loaded("m04_monthly_sales_summary_lines", "transaction_id user_id book_id date_id amount",
-          summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
+li("m04_monthly_sales_summary_lines", summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
 ev("m05_category_performance", summaries.category_summary, o.CATEGORY_SUMMARY)
 
 
-def m06(star):
-    folder = new_folder(star.sales.sparkSession, "aggregates")
-    prefix = _unused_prefix(folder)
-    summaries.create_materialized(star, folder, prefix)
-    return summaries.refresh_materialized(star, folder, prefix)[summaries.CATEGORY_VIEW]
+def m06(name):
+    def refreshed(star):
+        spark = star.sales.sparkSession
+        folder = new_folder(spark, "aggregates")
+        prefix = _unused_prefix(folder)
+        summaries.create_materialized(star, folder, prefix)
+        summaries.refresh_materialized(star, folder, prefix)
+        return _taken_out(spark, prefix + name, prefix + summaries.MONTHLY_VIEW, prefix + summaries.CATEGORY_VIEW)
+
+    return refreshed
 
 
-ev("m06_refresh_materialized", m06, o.CATEGORY_SUMMARY)
+ev("m06_refresh_materialized", m06(summaries.CATEGORY_VIEW), o.CATEGORY_SUMMARY)
+ev("m06_refresh_materialized_monthly", m06(summaries.MONTHLY_VIEW), o.MONTHLY_SUMMARY)
 
 # -------------------------------------------------------------------------------------------- dashboard
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tallybook.functions.dates import date_id
 from tallybook.functions.money import AMOUNT_TYPE
 from tallybook.operators.dimensions import CALENDAR_END, CALENDAR_START, dim_books, dim_date, dim_users
+from tallybook.sources.scratch import new_folder
+from tallybook.sources.tables import write_fact
 from tallybook.star import Star
 
 AS_OF = date(2024, 1, 30)
@@ -136,6 +138,31 @@ def lines_star(spark: SparkSession, sf_dir: str) -> Star:
     return _star(spark, sf_dir, LINES_CALENDAR, line_sales)
 
 
+_stored: dict[tuple[str, ...], str] = {}
+
+
+def stored_lines_star(spark: SparkSession, sf_dir: str) -> Star:
+    """The lines star with its fact stored once per application and input, as a warehouse holds it.
+
+    The input is known by its files, their lengths and times: other files are stored anew, never served by an
+    older copy. The fact is built when a report first reads it.
+    """
+
+    def fact() -> DataFrame:
+        files = spark.read.format("binaryFile").load([f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders")])
+        mark = files.agg(
+            F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)"))
+        ).first()
+        key = (spark.sparkContext.applicationId, sf_dir, str(mark[0]), str(mark[1]))
+        if key not in _stored:
+            path = new_folder(spark, "lines-star")
+            write_fact(line_sales(spark, sf_dir), path, by_day=False)
+            _stored[key] = path
+        return spark.read.parquet(_stored[key])
+
+    return lines_star(spark, sf_dir).replace(sales=fact)
+
+
 def raw_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All rows of the tables as text feeds, with the faults that cleaning has to deal with.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,23 @@ def first_per_key(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     return ranked.filter(F.col("_nth") == 1).drop("_nth")
 
 
+def later_per_key(df: DataFrame, firsts: DataFrame, key: str, target: DataFrame | None = None) -> DataFrame:
+    """The rows that ``insert_ignore`` leaves out: every row but the first of its key, and all rows of keys that
+    ``target`` holds. Equal rows are counted in the map tasks first, so copies of one row do not gather."""
+    columns = df.columns
+    counted = df.filter(F.col(key).isNotNull()).groupBy(*columns).agg(F.count("*").alias("_rows"))
+    kept = firsts.withColumn("_kept", F.lit(1))
+    if target is not None:
+        kept = kept.join(target.select(key), key, "left_anti")
+    same = [F.col(f"c.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in columns if c != key]
+    # The key alone is an equality, so the join is on it; the other columns tell the first row from later ones.
+    on = reduce(lambda a, b: a & b, same, F.col(f"c.{key}") == F.col(f"k.{key}"))
+    left = counted.alias("c").join(kept.alias("k"), on, "left")
+    over = F.col("_rows") - F.coalesce("_kept", F.lit(0))
+    lost = left.filter(over > 0).select(*[F.col(f"c.`{c}`") for c in columns], over.cast("int").alias("_over"))
+    return lost.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_over")))).drop("_over", "_copy")
+
+
 def insert_ignore(
     new: DataFrame, key: str, *order: str | Column, target: DataFrame | None = None
 ) -> DataFrame:

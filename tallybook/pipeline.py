@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallybook.operators import cleaning, dimensions
 from tallybook.operators.facts import fact_sales
-from tallybook.operators.merging import insert_ignore, stamped
-from tallybook.operators.quality import not_null_rules, split_rejects
+from tallybook.operators.merging import insert_ignore, later_per_key, stamped
+from tallybook.operators.quality import REASONS, not_null_rules, reject_counts, split_rejects
 from tallybook.plans.summaries import book_performance, daily_sales_summary
 from tallybook.schemas import NOT_NULL, TEXT_WIDTHS
+from tallybook.sources.feeds import path_exists
 from tallybook.sources.tables import read_star, write_dimension, write_fact
 from tallybook.star import Star
 
 
 def clean_feeds(
-    raw: Mapping[str, DataFrame], lo: float = 0, hi: float = 10000
+    raw: Mapping[str, DataFrame], lo: float = 0, hi: float = 10000, stored: Star | None = None
 ) -> dict[str, DataFrame]:
-    """Clean the three feeds and keep the transactions whose user and book survived."""
+    """Clean the three feeds and keep the transactions whose user and book survived or are stored already."""
     users = cleaning.clean_users(raw["users"])
     books = cleaning.clean_books(raw["books"])
     transactions = cleaning.clean_transactions(raw["transactions"], lo, hi)
+    known_users, known_books = users, books
+    if stored is not None:
+        known_users = users.select("id").union(stored.users.select("user_id")).distinct()
+        known_books = books.select("book_id").union(stored.books.select("book_id")).distinct()
     return {
         "users": users,
         "books": books,
-        "transactions": cleaning.referential_filter(transactions, users, books),
+        "transactions": cleaning.referential_filter(transactions, known_users, known_books),
     }
 
 
@@ -36,26 +43,45 @@ def _storable(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     return split_rejects(fitted, not_null_rules(NOT_NULL[table]))
 
 
+#: The order in which the first row of a key is stored, per table.
+FIRST_ROW = {
+    "dim_users": ("user_id", "signup_date", "name", "email", "location"),
+    "dim_books": ("book_id", "title", "isbn", "base_price", "author"),
+    "fact_sales": ("transaction_id", "transaction_timestamp", "user_id", "book_id", "amount"),
+}
+DUPLICATE = "duplicate key"
+
+
+def _split(df: DataFrame, table: str, target: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows to store and rejects. Both together are all rows of ``df``."""
+    ok, rejected = _storable(df, table)
+    key, *order = FIRST_ROW[table]
+    firsts = insert_ignore(ok, key, *order)
+    later = later_per_key(ok, firsts, key, target).withColumn(REASONS, F.array(F.lit(DUPLICATE)))
+    fresh = firsts if target is None else firsts.join(target.select(key), key, "left_anti").select(*firsts.columns)
+    return fresh, rejected.unionByName(later)
+
+
 def build_star(
-    feeds: Mapping[str, DataFrame], dates: DataFrame, as_of: date | None = None
+    feeds: Mapping[str, DataFrame],
+    dates: DataFrame,
+    as_of: date | None = None,
+    stored: Star | None = None,
 ) -> tuple[Star, dict[str, DataFrame]]:
     """The star of cleaned feeds, and the rows each table rejects.
 
     Rows that miss a required column are rejected; of the rest the first row per key is kept: users by
-    sign-up date, books by title, sales by time.
+    sign-up date, books by title, sales by time. Later rows of a key, and with ``stored`` all rows of a key that is
+    stored, are rejected as duplicates, so for every table the rows of the feed are those kept and those rejected.
     """
-    users, bad_users = _storable(dimensions.dim_users(feeds["users"], as_of), "dim_users")
-    books, bad_books = _storable(dimensions.dim_books(feeds["books"], as_of), "dim_books")
-    sales, bad_sales = _storable(fact_sales(feeds["transactions"]), "fact_sales")
-    star = Star(
-        users=insert_ignore(users, "user_id", "signup_date", "name", "email", "location"),
-        books=insert_ignore(books, "book_id", "title", "isbn", "base_price", "author"),
-        dates=dates,
-        sales=insert_ignore(
-            sales, "transaction_id", "transaction_timestamp", "user_id", "book_id", "amount"
-        ),
-    )
-    return star, {"dim_users": bad_users, "dim_books": bad_books, "fact_sales": bad_sales}
+    tables = {
+        "dim_users": (dimensions.dim_users(feeds["users"], as_of), stored and stored.users),
+        "dim_books": (dimensions.dim_books(feeds["books"], as_of), stored and stored.books),
+        "fact_sales": (fact_sales(feeds["transactions"]), stored and stored.sales),
+    }
+    split = {name: _split(df, name, target) for name, (df, target) in tables.items()}
+    star = Star(users=split["dim_users"][0], books=split["dim_books"][0], dates=dates, sales=split["fact_sales"][0])
+    return star, {name: rejected for name, (_, rejected) in split.items()}
 
 
 def load_all(
@@ -67,24 +93,44 @@ def load_all(
     lo: float = 0,
     hi: float = 10000,
     now: Column | None = None,
+    mode: str = "overwrite",
 ) -> tuple[Star, dict[str, DataFrame]]:
     """Load everything below ``root``: calendar, users, books, sales, then the two summaries.
 
-    The summaries are computed from the stored sales, not from the feeds again. All tables but the
-    calendar carry ``created_at`` and ``updated_at``.
+    ``mode="append"`` adds to what is stored there: stored rows win over new ones of the same key, and a first
+    load is the same in both modes. A sale may name a user or book of this load or a stored one. Rejects are stored below ``root/rejects`` and returned as read back. The summaries are computed from
+    the stored sales, not from the feeds again. All tables but the calendar carry ``created_at`` and ``updated_at``.
     """
-    calendar = dimensions.dim_date(spark, style="mon1") if dates is None else dates
-    feeds = clean_feeds(raw, lo, hi)
-    star, rejects = build_star(feeds, calendar, as_of)
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode must be 'overwrite' or 'append', got {mode!r}")
     root = root.rstrip("/")
-    write_dimension(star.dates, f"{root}/dim_date")
-    write_dimension(stamped(star.users, now), f"{root}/dim_users")
-    write_dimension(stamped(star.books, now), f"{root}/dim_books")
-    write_fact(stamped(star.sales, now), f"{root}/fact_sales")
-    stored = read_star(spark, root, summaries=False)
-    daily = daily_sales_summary(stored.sales)
-    per_book = book_performance(stored.sales, stored.dates)
+    stored = None
+    if mode == "append" and path_exists(spark, f"{root}/fact_sales"):
+        stored = read_star(spark, root, summaries=False)
+    else:
+        mode = "overwrite"
+    calendar = dimensions.dim_date(spark, style="mon1") if dates is None else dates
+    feeds = clean_feeds(raw, lo, hi, stored)
+    star, rejects = build_star(feeds, calendar, as_of, stored)
+    for name, rejected in rejects.items():
+        rejected.write.mode(mode).parquet(f"{root}/rejects/{name}")
+    if stored is None:
+        write_dimension(star.dates, f"{root}/dim_date")
+    # Sales first: their check against users and books must not see what this load stores.
+    write_fact(stamped(star.sales, now), f"{root}/fact_sales", mode)
+    write_dimension(stamped(star.users, now), f"{root}/dim_users", mode)
+    write_dimension(stamped(star.books, now), f"{root}/dim_books", mode)
+    loaded = read_star(spark, root, summaries=False)
+    daily = daily_sales_summary(loaded.sales)
+    per_book = book_performance(loaded.sales, loaded.dates)
     write_dimension(stamped(daily, now), f"{root}/fact_daily_sales_summary")
     write_dimension(stamped(per_book, now), f"{root}/fact_book_performance")
-    return read_star(spark, root), rejects
+    return read_star(spark, root), {name: spark.read.parquet(f"{root}/rejects/{name}") for name in rejects}
+
 
+def load_counts(star: Star, rejects: Mapping[str, DataFrame]) -> DataFrame:
+    """Stored rows and rejected rows by table and reason."""
+    stored = {"dim_users": star.users, "dim_books": star.books, "fact_sales": star.sales}
+    parts = [df.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), F.lit("stored").alias("outcome"), "row_count") for n, df in stored.items()]
+    parts += [reject_counts(df).select(F.lit(n).alias("table_name"), F.col("reason").alias("outcome"), "row_count") for n, df in rejects.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

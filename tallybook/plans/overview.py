@@ -7,7 +7,7 @@ from datetime import date
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import day
@@ -154,31 +154,37 @@ def data_status(star: Star, as_of: date | None = None) -> dict[str, dict]:
 
 
 def data_status_report(star: Star, as_of: date | None = None) -> DataFrame:
-    """The same probes as rows ``(probe, item, value)`` in one lazy plan."""
-    counts = table_counts(star).select(
-        F.lit("table_counts").alias("probe"),
-        F.col("table_name").alias("item"),
-        F.col("row_count").cast("string").alias("value"),
-    )
-    span = fact_date_range(star).select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("item"), F.col(c).cast("string").alias("value"))
-                    for c in ("earliest_date", "latest_date", "unique_dates")
-                ]
-            )
-        ).alias("r")
-    )
-    recent = recent_sales(star, 30, 10, as_of).select(
-        F.lit("recent_sales").alias("probe"),
-        F.col("full_date").cast("string").alias("item"),
-        F.concat_ws(" / ", F.col("transactions").cast("string"), F.col("revenue").cast("string")).alias(
-            "value"
-        ),
-    )
-    dated = span.select(F.lit("fact_sales_date_range").alias("probe"), "r.item", "r.value")
-    return _stack([counts, dated, recent])
+    """The same probes as rows ``(probe, item, value)`` in one lazy plan.
+
+    Each probe is planned on its own: one that names a missing table or column becomes a row ``(probe, "error",
+    error class)`` and the others answer.
+    """
+
+    def rows(df: DataFrame, item: Column, value: Column) -> DataFrame:
+        return df.select(item.cast("string").alias("item"), value.cast("string").alias("value"))
+
+    def span(df: DataFrame) -> DataFrame:
+        names = ("earliest_date", "latest_date", "unique_dates")
+        each = [F.struct(F.lit(c).alias("item"), F.col(c).cast("string").alias("value")) for c in names]
+        return df.select(F.inline(F.array(*each)))
+
+    both = F.concat_ws(" / ", F.col("transactions").cast("string"), F.col("revenue").cast("string"))
+    shapes = {
+        "table_counts": lambda df: rows(df, F.col("table_name"), F.col("row_count")),
+        "fact_sales_date_range": span,
+        "current_date": lambda df: rows(df, F.lit("current_date"), F.col("current_date")),
+        "recent_sales": lambda df: rows(df, F.col("full_date"), both),
+    }
+    spark = star.dates.sparkSession
+    parts = []
+    for name, probe in status_probes(star, as_of).items():
+        try:
+            part = shapes[name](probe())
+        except PySparkException as error:
+            kind = F.lit(error.getCondition())
+            part = spark.range(1).select(F.lit("error").alias("item"), kind.alias("value"))
+        parts.append(part.select(F.lit(name).alias("probe"), "item", "value"))
+    return _stack(parts)
 
 
 def user_behavior_rows(star: Star) -> DataFrame:
@@ -257,19 +263,15 @@ def _approx_column_stats(df: DataFrame) -> DataFrame:
 
 
 def _exact_column_stats(df: DataFrame) -> DataFrame:
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("cell"))
-                    for c in df.columns
-                ]
-            )
-        ).alias("r")
-    ).select("r.column_name", "r.cell")
-    values = cells.groupBy("column_name", "cell").agg(F.count("*").alias("_n"))
-    return values.groupBy("column_name").agg(
-        F.sum("_n").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("cell").isNull(), F.col("_n"))), F.lit(0)).alias("null_count"),
-        F.count("cell").alias("distinct_count"),
-    )
+    """One narrow aggregate per column on its own type: values are counted in the map tasks and only distinct ones
+    are shuffled; rows are never multiplied."""
+
+    def one(c: str) -> DataFrame:
+        values = df.groupBy(F.col(c).alias("cell")).agg(F.count("*").alias("_n"))
+        return values.agg(
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum(F.when(F.col("cell").isNull(), F.col("_n"))), F.lit(0)).alias("null_count"),
+            F.count("cell").alias("distinct_count"),
+        ).select(F.lit(c).alias("column_name"), "row_count", "null_count", "distinct_count")
+
+    return _stack([one(c) for c in df.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.dates import date_id, day
 from tallybook.functions.money import STORED_TOTAL_TYPE, ratio, stored_average, total
 from tallybook.operators.combining import beside, grouped
-from tallybook.operators.facts import check_range
+from tallybook.operators.facts import check_range, sales_between
 from tallybook.plans.books import sales_per_book
 from tallybook.schemas import STAR_SCHEMAS
 from tallybook.sources.tables import materialize, refresh, upsert_table
@@ -160,13 +160,16 @@ def refresh_materialized(star: Star, root: str, prefix: str = "") -> dict[str, D
 
 
 def _daily_between(star: Star, start: Column | None, end: Column | None) -> DataFrame:
-    """Daily summary rows of a range. The filter is on the grouping key, so it also prunes the fact when
-    the summary is derived on the fly."""
-    daily = daily_of(star)
-    if start is not None:
-        daily = daily.filter(F.col("date_id") >= date_id(start))
-    if end is not None:
-        daily = daily.filter(F.col("date_id") <= date_id(end))
+    """Daily summary rows of a range. A summary derived on the fly reads only the sales of the range: the bounds are
+    on the stored day and on the timestamp, which reaches the scan of a fact that stores no day."""
+    if star.daily is not None:
+        daily = star.daily
+        if start is not None:
+            daily = daily.filter(F.col("date_id") >= date_id(start))
+        if end is not None:
+            daily = daily.filter(F.col("date_id") <= date_id(end))
+    else:
+        daily = daily_sales_summary(sales_between(star.sales, start, end))
     return daily.join(star.dates.select("date_id", "full_date"), "date_id")
 
 

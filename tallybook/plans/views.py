@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import ratio, total
-from tallybook.operators.facts import date_range
+from tallybook.operators.facts import date_range, sales_between
 from tallybook.operators.paging import page
 from tallybook.operators.ranking import DEFAULT_SLICES, global_ranks
 from tallybook.plans.summaries import book_performance_of
@@ -137,7 +137,9 @@ def _matching_sales(
     start: date | None,
     end: date | None,
 ) -> DataFrame:
-    sales = date_range(v_sales_with_dimensions(star), start, end)
+    # The range is filtered on the fact, before it meets the dimensions, and again on the calendar day.
+    within = star.replace(sales=sales_between(star.sales, start, end))
+    sales = date_range(v_sales_with_dimensions(within), start, end)
     if category is not None:
         sales = sales.filter(F.col("book_category") == category)
     if user_segment is not None:

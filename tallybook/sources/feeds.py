@@ -15,15 +15,24 @@ from tallybook.operators.cleaning import fill_null_text, repair_utf8, truncate_t
 from tallybook.operators.quality import split_rejects
 from tallybook.schemas import LOAD_SCHEMAS, RAW_COLUMNS, TEXT_WIDTHS
 
-# Quotes inside a field are doubled, on both sides.
-CSV_FORM = {"header": True, "sep": ",", "quote": '"', "escape": '"'}
-
-
-def read_feed(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+# Quotes inside a field are doubled and blanks belong to the field, on both sides.
+CSV_FORM = {
+    "header": True,
+    "sep": ",",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+CORRUPT = "_corrupt_record"
+
+
+def read_feed(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
     """One raw feed, every column as text under the names in its header.
 
     Only the header line is read to learn the names: there is no pass over the data to guess types.
-    ``multi_line`` admits line breaks inside quoted fields, at the price of one task per file.
+    ``multi_line`` admits line breaks inside quoted fields, at the price of one task per file; a feed is best
+    kept as many files. Turn it off only for feeds known to have none.
     """
     df = spark.read.options(**CSV_FORM, multiLine=multi_line).csv(path)
     missing = [c for c in columns if c not in df.columns]
@@ -32,7 +41,7 @@ def read_feed(spark: SparkSession, path: str, columns: list[str], multi_line: bo
     return df.select(*columns)
 
 
-def read_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> dict[str, DataFrame]:
+def read_raw(spark: SparkSession, folder: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """The three raw feeds of a folder: ``users.csv``, ``books.csv``, ``transactions.csv``."""
     return {
         name: read_feed(spark, f"{folder.rstrip('/')}/{name}.csv", columns, multi_line)
@@ -57,24 +66,48 @@ def _converted(field: T.StructField, ts_form: str) -> Column:
     return raw if isinstance(field.dataType, T.StringType) else raw.try_cast(field.dataType)
 
 
+def _records(spark: SparkSession, path: str, names: list[str], multi_line: bool) -> tuple[DataFrame, Column]:
+    """The records as text with the raw text of a malformed one beside it, and whether a record is whole."""
+    fields = ", ".join(f"`{c}` string" for c in [*names, CORRUPT])
+    if multi_line:
+        form = {**CSV_FORM, "multiLine": True, "enforceSchema": False, "columnPruning": False}
+        raw = spark.read.schema(fields).options(**form, columnNameOfCorruptRecord=CORRUPT).csv(path)
+        return raw, F.col(CORRUPT).isNull()
+    lines = spark.read.text(path)
+    head = lines.first()
+    header = head["value"] if head else ",".join(names)
+    if [c.strip('"') for c in header.split(",")] != names:
+        raise ValueError(f"{path} has the header {header!r}, expected {names}")
+    form = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_FORM.items() if k != "header"}
+    parsed = F.from_csv("value", F.lit(fields), {**form, "columnNameOfCorruptRecord": CORRUPT})
+    # A quote that stays open would swallow the rest of its line without a complaint from the parser.
+    open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    records = lines.filter((F.col("value") != header) & (F.col("value") != "")).select(
+        parsed.alias("r"), F.when(open_quote, F.col("value")).alias("open")
+    )
+    raw = records.select(*[F.col(f"r.`{c}`") for c in names], F.coalesce("open", f"r.{CORRUPT}").alias(CORRUPT))
+    return raw, F.col(CORRUPT).isNull()
+
+
 def copy_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
     widths: Mapping[str, int] | None = None,
     ts_form: str = TIMESTAMP_FORM,
+    multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Bulk load of a curated file into typed columns: ``(loaded, rejected)``.
 
     Empty fields become NULL, invalid characters are repaired, long text is cut. A row with a field
-    that does not convert is rejected whole, as text, with the names of those fields.
+    that does not convert, or with more or fewer fields than the table, is rejected whole, as text, with the
+    reasons; the raw text of a malformed row is in ``_corrupt_record``. With ``multi_line`` off a row that leaves a
+    quote open is malformed too, and one large file is read by many tasks.
     """
-    text = T.StructType([T.StructField(name, T.StringType()) for name in schema.names])
-    raw = spark.read.schema(text).options(**CSV_FORM, enforceSchema=False).csv(path)
+    raw, whole = _records(spark, path, schema.names, multi_line)
     raw = repair_utf8(raw)
-    rules = {
-        f"{f.name} does not convert": empty_to_null(F.col(f.name)).isNull()
-        | _converted(f, ts_form).isNotNull()
+    rules = {"number of fields or quotes": whole} | {
+        f"{f.name} does not convert": empty_to_null(F.col(f.name)).isNull() | _converted(f, ts_form).isNotNull()
         for f in schema.fields
         if not isinstance(f.dataType, T.StringType)
     }
@@ -83,24 +116,27 @@ def copy_csv(
     return truncate_text(typed, widths or {}), rejected
 
 
-def copy_star(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+def copy_star(spark: SparkSession, folder: str, multi_line: bool = True) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Load the curated files in dependency order: users, books, sales."""
     files = {"dim_users": "users.csv", "dim_books": "books.csv", "fact_sales": "transactions.csv"}
     return {
-        table: copy_csv(spark, f"{folder}/{name}", LOAD_SCHEMAS[table], TEXT_WIDTHS.get(table))
+        table: copy_csv(spark, f"{folder}/{name}", LOAD_SCHEMAS[table], TEXT_WIDTHS.get(table), multi_line=multi_line)
         for table, name in files.items()
     }
 
 
-def publish(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> dict[str, str]:
+def publish(
+    spark: SparkSession, source: str, target: str, overwrite: bool = False, multi_line: bool = True
+) -> dict[str, str]:
     """Copy the raw feeds below ``target``: what happened to each feed, by name.
 
-    A missing feed is skipped. A feed already there is left alone unless ``overwrite``.
+    Every column in a feed's header and every record is kept, missing and empty fields apart. A missing feed is
+    skipped. A feed already there is left alone unless ``overwrite``.
     """
     outcome = {}
-    for name, columns in RAW_COLUMNS.items():
+    for name in RAW_COLUMNS:
         try:
-            feed = read_feed(spark, f"{source.rstrip('/')}/{name}.csv", columns)
+            feed = spark.read.options(**CSV_FORM, multiLine=multi_line).csv(f"{source.rstrip('/')}/{name}.csv")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -109,7 +145,8 @@ def publish(spark: SparkSession, source: str, target: str, overwrite: bool = Fal
         path = f"{target.rstrip('/')}/{name}.csv"
         present = not overwrite and path_exists(spark, path)
         if not present:
-            write_csv(feed, path, mode="overwrite" if overwrite else "errorifexists")
+            writer = feed.write.mode("overwrite" if overwrite else "errorifexists")
+            writer.options(**CSV_FORM, nullValue="", emptyValue='""').csv(path)
         outcome[name] = "skipped" if present else "published"
     return outcome
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only with a local master, where driver and executors are one process, a folder of this machine stands in.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="tallybook-")
+    if shared:
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master is {master})")
+    return tempfile.mkdtemp(prefix="tallybook-")
 
 
 def new_folder(spark: SparkSession, label: str, root: str | None = None) -> str:

@@ -8,7 +8,6 @@ nothing overwrites files it is reading.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +22,22 @@ def write_dimension(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_fact(sales: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sales partitioned by day.
+def write_fact(sales: DataFrame, path: str, mode: str = "overwrite", by_day: bool = True) -> None:
+    """Sales in folders by day, or with ``by_day`` off in files of consecutive days.
 
     ``rebalance`` lets adaptive execution gather the rows of a day into few files and split a day that
-    holds far more rows than the others, instead of writing it from one task.
+    holds far more rows than the others, instead of writing it from one task. Rows are sorted by user inside a
+    day, so that the statistics of row groups prune lookups of one user. Files of consecutive days suit a fact
+    of many small days: the statistics prune by day as folders would.
     """
-    days = sales.hint("rebalance", F.col("date_id"))
-    days.write.mode(mode).partitionBy("date_id").parquet(path)
+    if by_day:
+        days = sales.hint("rebalance", F.col("date_id")).sortWithinPartitions("date_id", "user_id")
+        days.write.mode(mode).partitionBy("date_id").parquet(path)
+    else:
+        sales.repartitionByRange("date_id", "user_id").sortWithinPartitions("date_id", "user_id").write.mode(mode).parquet(path)
 
 
-def create_star(star: Star, root: str, overwrite: bool = True) -> Star:
+def create_star(star: Star, root: str, overwrite: bool = True, by_day: bool = True) -> Star:
     """Write the star below ``root`` and return it as read back."""
     root = root.rstrip("/")
     mode = "overwrite" if overwrite else "errorifexists"
@@ -41,7 +45,7 @@ def create_star(star: Star, root: str, overwrite: bool = True) -> Star:
     stored = star.tables()
     for name, df in stored.items():
         path = f"{root}/{name}"
-        write_fact(df, path, mode) if name == "fact_sales" else write_dimension(df, path, mode)
+        write_fact(df, path, mode, by_day) if name == "fact_sales" else write_dimension(df, path, mode)
     return read_star(spark, root, summaries="fact_daily_sales_summary" in stored)
 
 
@@ -69,26 +73,54 @@ def _store_version(df: DataFrame, name: str, root: str) -> str:
     return path
 
 
-def _point_table(spark: SparkSession, name: str, path: str) -> None:
-    if spark.catalog.tableExists(name):
-        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
-        spark.catalog.refreshTable(name)
-    else:
+def location(spark: SparkSession, name: str) -> str:
+    """The folder a stored table points at."""
+    row = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first()
+    return row["data_type"]
+
+
+def _point_table(spark: SparkSession, name: str, path: str, root: str, keep: int = 1) -> None:
+    """Move a table to its next version. ``keep`` superseded versions stay for readers that still use them."""
+    if not spark.catalog.tableExists(name):
         spark.catalog.createTable(name, path=path, source="parquet")
+        return
+    before = location(spark, name)
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+    spark.catalog.refreshTable(name)
+    _drop_versions(spark, name, root, {path.rpartition("/")[2], before.rpartition("/")[2]}, keep)
+
+
+def _drop_versions(spark: SparkSession, name: str, root: str, recent: set[str], keep: int) -> None:
+    """Remove superseded version folders of a table, the oldest first, beside the newest and its predecessor."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{name}-*")) or []
+    old = [(f.getModificationTime(), f.getPath()) for f in found if f.getPath().getName() not in recent]
+    old.sort(key=lambda x: x[0])
+    for _, path in old[: max(0, len(old) - max(0, keep - 1))]:
+        files.delete(path, True)
+
+
+def drop_stored(spark: SparkSession, *names: str) -> None:
+    """Take stored tables out of the catalog; external files stay."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def materialize(df: DataFrame, name: str, root: str) -> DataFrame:
     """Store an aggregate under ``name`` unless it is stored already."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(name):
-        _point_table(spark, name, _store_version(df, name, root))
+        _point_table(spark, name, _store_version(df, name, root), root)
     return spark.table(name)
 
 
-def refresh(df: DataFrame, name: str, root: str) -> DataFrame:
-    """Recompute a stored aggregate: write the next version, then switch the table to it."""
+def refresh(df: DataFrame, name: str, root: str, keep: int = 1) -> DataFrame:
+    """Recompute a stored aggregate: write the next version, then switch the table to it. Of the versions before,
+    ``keep`` stay."""
     spark = df.sparkSession
-    _point_table(spark, name, _store_version(df, name, root))
+    _point_table(spark, name, _store_version(df, name, root), root, keep)
     return spark.table(name)
 
 
@@ -106,24 +138,21 @@ def register_views(views: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def drop_views(spark: SparkSession, *names: str) -> None:
+    for name in names:
+        spark.catalog.dropTempView(name)
+
+
 def list_tables(spark: SparkSession, pattern: str = "%") -> DataFrame:
     """Names of the tables and views present that match a LIKE pattern, ordered."""
     names = spark.sql("SHOW TABLES").select(F.col("tableName").alias("table_name"))
     return names.filter(F.col("table_name").like(pattern)).orderBy("table_name")
 
 
-def result_envelope(df: DataFrame, query_type: str, max_rows: int = 100_000) -> dict:
-    """Rows of a bounded result with its type, time and row count.
-
-    Meant for the answers of the report queries. A result above ``max_rows`` is refused, not cut: it
-    should be written from the executors instead.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{query_type} has more than {max_rows} rows; write it to a table instead")
-    return {
-        "data": [row.asDict(recursive=True) for row in rows],
-        "query_type": query_type,
-        "timestamp": datetime.now(timezone.utc).isoformat(),
-        "row_count": len(rows),
-    }
+def result_envelope(df: DataFrame, query_type: str) -> dict[str, DataFrame]:
+    """A result with its envelope: ``data`` are the rows as they are, ``header`` is one row with the type, the time and
+    the number of rows. Both stay with Spark, whatever the size of the result."""
+    header = df.agg(F.count("*").alias("row_count")).select(
+        F.lit(query_type).alias("query_type"), F.current_timestamp().alias("timestamp"), "row_count"
+    )
+    return {"header": header, "data": df}

@@ -188,18 +188,90 @@ def test_views_and_envelope(spark, events):
     stored = events.replace(book_performance=stored_once(summaries.book_performance_of(events), "books"))
     tables.register_views(views.published_views(stored))
     assert spark.table("v_user_behavior").count() == 1500
+    tables.drop_views(spark, *views.published_views(stored))
     answer = tables.result_envelope(sales.daily_sales_trends(events, 7), "daily_sales_trends")
-    assert answer["row_count"] == len(answer["data"]) == 8
-    assert answer["query_type"] == "daily_sales_trends" and answer["timestamp"]
-    assert answer["data"][0]["date"] == date(2024, 1, 30)
+    header = answer["header"].first()
+    assert header["row_count"] == answer["data"].count() == 8
+    assert header["query_type"] == "daily_sales_trends" and header["timestamp"]
+    # No bound on the size of a result.
+    assert tables.result_envelope(spark.range(300_000), "ids")["header"].first()["row_count"] == 300_000
+
+
+def test_csv_keeps_blanks_breaks_and_quotes(spark, tmp_path):
+    texts = ["  lead and trail  ", "two\nlines", 'open " quote', "a,b", "tab\t", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, v string")
+    path = str(tmp_path / "t.csv")
+    feeds.write_csv(df, path)
+    loaded, rejected = feeds.copy_csv(spark, path, df.schema)
+    assert rejected.count() == 0 and rows(loaded) == sorted(enumerate(texts), key=str)
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_ragged_rows_are_rejected(spark, tmp_path, multi_line):
+    path = tmp_path / "t.csv"
+    path.write_text("k,v,w\n1,a,b\n2,short\n3,a,b,more\n4,,\n")
+    schema = spark.createDataFrame([], "k bigint, v string, w string").schema
+    loaded, rejected = feeds.copy_csv(spark, str(path), schema, multi_line=multi_line)
+    assert rows(loaded) == [(1, "a", "b"), (4, None, None)]
+    assert rows(rejected, "_corrupt_record") == [("2,short",), ("3,a,b,more",)]
+
+
+def test_an_open_quote_is_rejected_line_by_line(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('k,v\n1,"two\nlines"\n2,"open\n3,"fine ""x"""\n')
+    schema = spark.createDataFrame([], "k bigint, v string").schema
+    loaded, rejected = feeds.copy_csv(spark, str(path), schema, multi_line=False)
+    assert rows(loaded) == [(3, 'fine "x"')] and rejected.count() == 3
     with pytest.raises(ValueError):
-        tables.result_envelope(events.sales, "sales", max_rows=100)
+        feeds.copy_csv(spark, str(path), spark.createDataFrame([], "k bigint, x string").schema, multi_line=False)
+
+
+def test_publish_keeps_every_column_and_record(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "users.csv").write_text('id,more,name\n1, x ,"two\nlines"\n2,"",\n')
+    assert feeds.publish(spark, str(source), target)["users"] == "published"
+    found = spark.read.options(**feeds.CSV_FORM, multiLine=True).csv(f"{target}/users.csv")
+    assert found.columns == ["id", "more", "name"]
+    assert rows(found) == rows(spark.read.options(**feeds.CSV_FORM, multiLine=True).csv(str(source / "users.csv")))
+
+
+def test_superseded_versions_are_removed(spark, tmp_path):
+    root, name = str(tmp_path), "kept_" + tmp_path.name.replace("-", "_")
+    for n in range(5):
+        tables.refresh(spark.range(n), name, root)
+    assert spark.table(name).count() == 4
+    assert len(list(tmp_path.glob(f"{name}-*"))) == 2
+    tables.drop_stored(spark, name)
+
+
+def test_load_accounts_for_every_row(spark, tmp_path):
+    raw = raw_feeds(spark, f"{DATA}/sf0.001")
+    twice = {k: df.unionByName(df) for k, df in raw.items()}
+    star, rejects = load_all(spark, twice, str(tmp_path / "w"), AS_OF)
+    cleaned = clean_feeds(twice)
+    kept = {"dim_users": star.users, "dim_books": star.books, "fact_sales": star.sales}
+    for table, feed in (("dim_users", "users"), ("dim_books", "books"), ("fact_sales", "transactions")):
+        assert kept[table].count() + rejects[table].count() == cleaned[feed].count(), table
+    assert rejects["fact_sales"].filter("array_contains(reject_reasons, 'duplicate key')").count() == star.sales.count()
+
+
+def test_an_identical_append_changes_nothing(spark, tmp_path):
+    raw, root = raw_feeds(spark, f"{DATA}/sf0.001"), str(tmp_path / "w")
+    first, _ = load_all(spark, raw, root, AS_OF, mode="append")
+    before = {name: rows(df.drop("created_at", "updated_at")) for name, df in first.tables().items()}
+    second, rejects = load_all(spark, raw, root, AS_OF, mode="append")
+    assert {name: rows(df.drop("created_at", "updated_at")) for name, df in second.tables().items()} == before
+    assert rejects["fact_sales"].count() == len(before["fact_sales"])
 
 
 def test_data_status_survives_a_failing_probe(spark, events):
     broken = events.replace(dates=spark.range(1).selectExpr("raise_error('no calendar') AS date_id", "DATE'2024-01-01' AS full_date"))
     status = overview.data_status(broken, AS_OF)
     assert "error" in status["fact_sales_date_range"]
+    missing = events.replace(books=lambda: spark.read.parquet("/no/such/folder"))
+    report = rows(overview.data_status_report(missing, AS_OF))
+    assert ("table_counts", "error", "PATH_NOT_FOUND") in report and {r[0] for r in report} >= {"recent_sales", "current_date"}
     assert status["current_date"]["data"] == [{"current_date": AS_OF}]
     assert {"fact_sales": 1981}.items() <= {
         r["table_name"]: r["row_count"] for r in overview.data_status(events, AS_OF)["table_counts"]["data"]
