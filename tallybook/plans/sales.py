@@ -49,8 +49,9 @@ def _per_day(star: Star, sales: DataFrame) -> DataFrame:
 
 def latest_sale_day(star: Star) -> DataFrame:
     """One row: the last calendar day with a sale, as ``latest``."""
-    dated = star.sales.select("date_id").join(star.dates.select("date_id", "full_date"), "date_id")
-    return dated.agg(F.max("full_date").alias("latest"))
+    # Days are made distinct in the map tasks; a few of them meet the calendar, not every sale.
+    days = star.sales.select("date_id").distinct()
+    return days.join(star.dates.select("date_id", "full_date"), "date_id").agg(F.max("full_date").alias("latest"))
 
 
 def daily_sales_trends(star: Star, days: int = 30) -> DataFrame:

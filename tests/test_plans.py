@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from conftest import DATA
+from tallybook.bindings import stored_lines_star
 from tallybook.operators.merging import insert_ignore
 from tallybook.operators.ranking import global_ranks
-from tallybook.plans import books, customers, sales, summaries
+from tallybook.plans import books, customers, overview, sales, summaries, views
 from tallybook.sources.tables import create_star
 
 
@@ -33,6 +34,28 @@ def test_filters_reach_the_scan(events):
     assert "GreaterThanOrEqual(ts,2024-01-08T00:00)" in pushed and "LessThan(ts,2024-01-10T00:00)" in pushed
 
 
+def test_ranges_of_summaries_and_filtered_sales_reach_the_scan(events):
+    for report in (
+        summaries.daily_summary(events, date(2024, 1, 8), date(2024, 1, 9)),
+        views.sales_filtered(events, start=date(2024, 1, 8), end=date(2024, 1, 9)),
+    ):
+        assert "GreaterThanOrEqual(ts,2024-01-08T00:00)" in plan(report) and "LessThan(ts,2024-01-10T00:00)" in plan(report)
+    recent = plan(summaries.sales_trends(events, 14, date(2024, 1, 30)))
+    assert "GreaterThanOrEqual(ts,2024-01-16T00:00)" in recent
+
+
+def test_column_statistics_do_not_multiply_rows(events):
+    assert "Generate" not in plan(overview.table_stats(events)).replace("Generate explode(sequence", "")
+
+
+def test_lines_fact_is_stored_once_and_read_without_a_join(spark):
+    star = stored_lines_star(spark, f"{DATA}/sf0.001")
+    text = plan(star.sales.groupBy("date_id").count())
+    assert "Join" not in text and "lines-star" in text
+    assert stored_lines_star(spark, f"{DATA}/sf0.001").sales.inputFiles() == star.sales.inputFiles()
+    assert "EqualTo(user_id,41)" in plan(customers.user_transactions(star, 41))
+
+
 def test_key_lookup_reaches_the_scan(events):
     assert "EqualTo(c_custkey,41)" in plan(customers.user_by_id(events, 41))
     assert "EqualTo(user_id,41)" in plan(customers.user_transactions(events, 41))
