@@ -5,11 +5,15 @@ enough share a shingle of their prefixes, the first n - ceil(t * n) + 1 shingles
 collapsed into one group and only groups are posted under their prefix shingles. Lists with one group are dropped, the
 others are expanded to their members (distinct sets; exact copies are one), and members are verified on their whole sets.
 
-No list is ever turned into all its pairs. In every round each list has one hub, chosen anew by a seeded hash; the members
-that are not yet in the hub's component and pass the size and bitmap bounds are verified against it. What remains is made
-exact at the end: in lists which still span several components, the members outside the list's largest component meet all
-members of other components, again only past both bounds. The bitmap bound is safe: flags that differ between two sets
-count shingles that are in one of them only.
+No list is ever turned into all its pairs. In every round each list has one hub, chosen anew by a seeded hash; of the hubs
+that a member meets and whose component it is not yet in, the nearest one by size and bitmap bounds is verified. What
+remains is made exact at the end: in lists which still span several components, the members outside the list's largest
+component meet all members of other components, again only past both bounds. Both bounds are safe: shingles that both sets
+hold turn the same flags over, so every flag that differs needs a shingle that is in one of them only; and a member without a
+neighbour of fit size in a list leaves the list.
+
+Whole sets are never stored. Where pairs are verified, the texts of both sides are read again and one side meets the other by
+its hub. The keys of those texts are broadcast up to ``KEYS`` of them and joined with a shuffle beyond.
 
 Frequent shingles are found by lossy counts in the map tasks, at most ``HEAVY`` are broadcast; they change the order, never
 the result. Components are found with ``components`` on written edges. Sets are compared by 64-bit codes of shingles
@@ -34,14 +38,18 @@ from pyspark.sql import Window
 from tallybook.llm.components import components
 from tallybook.llm.frequent import most_frequent
 from tallybook.llm.shipping import ship
-from tallybook.llm.words import chunks, mixed, shingles, word_codes
+from tallybook.llm.words import chunks, mixed, shingle_sets, word_codes
 from tallybook.sources.scratch import stored_once
 
 #: Shingles that are put last in the order, at most, and the count from which one is.
 HEAVY = 1 << 17
 HEAVY_COUNT = 8
 ROUNDS = 3
+#: Hubs that a group of equal lists may have in a round.
+HUBS = 4
 FLAG_WORDS = 32
+#: Keys of texts that are broadcast at most, 24 bytes each.
+KEYS = 2_000_000
 _PENDING = 3_000_000
 _U = np.uint64
 
@@ -50,9 +58,7 @@ def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The distinct shingles of each text, in order of their codes."""
     for _, _, raw, offsets in chunks(texts):
         codes, bounds = word_codes(raw, offsets)
-        edges = bounds.tolist()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield np.unique(shingles(codes[a:b], size))
+        yield from shingle_sets(codes, bounds, size)
 
 
 def _heavy(size: int):
@@ -97,6 +103,12 @@ def _identity(codes: np.ndarray) -> tuple[int, int]:
     return tuple(np.array(parts, _U).view(np.int64).tolist())
 
 
+def _flags(codes: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: each shingle turns one of ``64 * FLAG_WORDS`` flags over, so that sets of any size stay apart."""
+    bits = np.bincount((codes >> _U(53)).astype(np.int64), minlength=64 * FLAG_WORDS).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(_U)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1 if n else 0
 
@@ -110,7 +122,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, rank = shared.value
         for batch in batches:
-            n, k1, k2, g1, g2, prefixes = [], [], [], [], [], []
+            n, k1, k2, g1, g2, prefixes, flags = [], [], [], [], [], [], []
             for s in _sets(batch.column(2), size):
                 if len(heavy) and len(s):
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -123,14 +135,18 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
                     out.append(value)
                 n.append(len(s))
                 prefixes.append(prefix.view(np.int64))
+                flags.append(_flags(s).view(np.int64))
             lengths = np.append(0, np.cumsum([len(p) for p in prefixes], dtype=np.int64)).astype(np.int32)
-            cells = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
+            cells = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             longs = [pa.array(x, pa.int64()) for x in (n, k1, k2, g1, g2)]
-            names = ["id", "text_key", "n", "k1", "k2", "g1", "g2", "prefix"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *longs, pa.ListArray.from_arrays(pa.array(lengths), cells)], names)
+            every = np.concatenate(flags) if flags else np.zeros(0, np.int64)
+            starts = np.arange(len(flags) + 1, dtype=np.int32) * FLAG_WORDS
+            lists = [pa.ListArray.from_arrays(pa.array(a), pa.array(b)) for a, b in ((lengths, cells), (starts, every))]
+            names = ["id", "text_key", "n", "k1", "k2", "g1", "g2", "prefix", "flags"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *longs, *lists], names)
 
     kind = cut.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, text_key bigint, n bigint, k1 bigint, k2 bigint, g1 bigint, g2 bigint, prefix array<bigint>"
+    schema = f"id {kind}, text_key bigint, n bigint, k1 bigint, k2 bigint, g1 bigint, g2 bigint, prefix array<bigint>, flags array<bigint>"
     return stored_once(cut.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "join-prefixes")
 
 
@@ -142,33 +158,43 @@ def text_key(key: str, text: str) -> Column:
 def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, flags = [], []
-            for s in _sets(batch.column(1), size):
-                bits = np.zeros(FLAG_WORDS, _U)
-                np.bitwise_or.at(bits, (s >> _U(59)).astype(np.int64), _U(1) << ((s >> _U(53)) & _U(63)))
-                found.append(s.view(np.int64))
-                flags.append(bits.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(flags, pa.list_(pa.int64()))], ["e", "whole", "flags"]
-            )
+            # A few rows at a time: the sets of long texts are large.
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [s.view(np.int64) for s in _sets(part.column(2), size)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sets, pa.list_(pa.int64()))], ["a", "b", "whole"])
 
     return run
 
 
-def _near(percent: int, x: str, y: str) -> Column:
-    """Size and bitmap bounds: false only for sets that cannot be similar enough."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = reduce(lambda s, c: s + c, [F.bit_count(F.col(f"{x}.flags")[i].bitwiseXOR(F.col(f"{y}.flags")[i])) for i in range(FLAG_WORDS)])
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * apart <= (100 - percent) * (a + b))
+def _apart(x: str, y: str) -> Column:
+    """Flags in which two sets differ."""
+    return reduce(lambda s, c: s + c, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(FLAG_WORDS)])
+
+
+def _fit(percent: int, a: str, b: str) -> Column:
+    """Whether sizes allow the similarity."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
 
+def _near(percent: int, apart: Column, a: str, b: str) -> Column:
+    """Whether the flags that differ allow the similarity."""
+    return (100 + percent) * apart <= (100 - percent) * (F.col(a) + F.col(b))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("e").alias("a"), F.col("whole").alias("x"))
-    right = sets.select(F.col("e").alias("b"), F.col("whole").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("both", both)
-    return joined.where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+
+def _verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar enough. ``keys`` has the text key of every member."""
+    few = pairs.count() <= KEYS
+
+    def sets(side: DataFrame, of: str) -> DataFrame:
+        wanted = side.join(keys.select(F.col("e").alias(of), "text_key"), of).select("text_key", "a", "b")
+        met = texts.join(F.broadcast(wanted) if few else wanted, "text_key").select("a", "b", "text")
+        return met.mapInArrow(_whole_sets(size), "a bigint, b bigint, whole array<bigint>")
+
+    left = sets(pairs, "a").select("a", "b", F.col("whole").alias("x"))
+    right = sets(pairs.select("b").distinct().withColumn("a", F.lit(0).cast("long")), "b").select("b", F.col("whole").alias("y"))
+    joined = left.join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return joined.where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b").distinct()
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
@@ -177,58 +203,66 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     rows = _prefixes(docs, key, text, size, percent)
     full = rows.where("n > 0")
     group = ["n", "g1", "g2"]
+    # Only groups are posted; in a list, neighbours by size tell whether a group has any partner of fit size.
+    posted = full.groupBy(*group).agg(F.min("row").alias("g"), F.first("prefix").alias("prefix")).select("g", "n", F.explode("prefix").alias("token"))
+    by_size = Window.partitionBy("token").orderBy("n", "g")
+    shared = (
+        posted.withColumn("smaller", F.lag("n").over(by_size))
+        .withColumn("larger", F.lead("n").over(by_size))
+        .where((100 * F.col("smaller") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("larger")))
+        .select("g", "token")
+    )
     groups = full.groupBy(*group).agg(
-        F.min("row").alias("g"),
-        ((F.min("k1") < F.max("k1")) | (F.min("k2") < F.max("k2"))).alias("several"),
-        F.first("prefix").alias("prefix"),
+        F.min("row").alias("g"), ((F.min("k1") < F.max("k1")) | (F.min("k2") < F.max("k2"))).alias("several")
     )
-    groups = stored_once(groups, "join-groups")
-    posted = groups.select("g", F.explode("prefix").alias("token"))
-    shared = posted.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1").select("g", "token")
     members = full.groupBy(*group, "k1", "k2").agg(F.min(F.struct("row", "text_key")).alias("m"))
     members = stored_once(
         members.select(*group, "k1", "k2", F.col("m.row").alias("e"), F.col("m.text_key").alias("text_key"))
-        .join(groups.select(*group, "g", "several"), group)
+        .join(groups, group)
         .select("k1", "k2", "n", "e", "text_key", "g", "several"),
         "join-members",
     )
     lists = shared.join(members.select("g", "e", "n"), "g").select("token", "e", "n")
     inner = members.where("several").select(F.xxhash64(F.lit("group"), "g").alias("token"), "e", "n")
     lists = stored_once(lists.union(inner), "join-lists")
-
-    needed = lists.select("e").distinct().join(members.select("e", "text_key"), "e")
-    texts = docs.select(text_key(key, text).alias("text_key"), F.col(text).cast("string").alias("text")).join(needed, "text_key")
-    sets = texts.select("e", "text").mapInArrow(_whole_sets(size), "e bigint, whole array<bigint>, flags array<bigint>")
-    sets = stored_once(sets.dropDuplicates(["e"]), "join-sets")
-    lists = stored_once(lists.join(sets.select("e", "flags"), "e"), "join-flagged")
+    texts = docs.select(text_key(key, text).alias("text_key"), F.col(text).cast("string").alias("text"))
+    keys, flags = members.select("e", "text_key"), rows.select(F.col("row").alias("e"), "flags")
+    side = lambda x: flags.select(F.col("e").alias(x), F.col("flags").alias(f"{x}_flags"))
 
     links: DataFrame | None = None
     roots: DataFrame | None = None
     for turn in range(rounds + 1):
         now = lists.withColumn("c", F.col("e"))
         if roots is not None:
-            now = lists.join(roots, lists["e"] == roots["node"], "left").select("token", "e", "n", "flags", F.coalesce("root", "e").alias("c"))
+            now = lists.join(roots, lists["e"] == roots["node"], "left").select("token", "e", "n", F.coalesce("root", "e").alias("c"))
             spread = now.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
             now = stored_once(now.join(spread, "token", "left_semi"), "join-open")
             if now.isEmpty():
                 break
+        every = now.select("token", F.col("e").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
         if turn < rounds:
-            hub = F.min_by(F.struct("e", "n", "flags", "c"), F.xxhash64("e", "token", F.lit(turn))).alias("h")
-            some, every = now.groupBy("token").agg(hub).select("token", "h.*"), now
+            hub = F.min_by(F.struct("e", "n", "c"), F.xxhash64("e", F.pmod("token", F.lit(HUBS)), F.lit(turn))).alias("h")
+            some = now.groupBy("token").agg(hub).select("token", F.col("h.e").alias("b"), F.col("h.n").alias("b_n"), F.col("h.c").alias("b_c"))
+            met = every.join(some, "token").where((F.col("a_c") != F.col("b_c")) & _fit(percent, "a_n", "b_n"))
+            met = met.select("a", "a_n", "b", "b_n").distinct().join(side("a"), "a").join(side("b"), "b")
+            met = met.withColumn("apart", _apart("a_flags", "b_flags")).where(_near(percent, F.col("apart"), "a_n", "b_n"))
+            pairs = met.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
         else:
-            # The rest: members outside the largest component of their list.
+            # The rest: members outside the largest component of their list. The bounds are part of the join.
             most = now.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("largest"))
-            some, every = now.join(most, "token").where("c <> largest").drop("largest"), now
-        x, y = some.alias("x"), every.alias("y")
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _near(percent, "x", "y"))
-        pairs = met.select(F.least("x.e", "y.e").alias("a"), F.greatest("x.e", "y.e").alias("b")).distinct()
-        new = stored_once(_verified(pairs, sets, percent), "join-links")
+            every = every.join(side("a"), "a")
+            some = every.join(most, "token").where("a_c <> largest").drop("largest")
+            x, y = every.alias("x"), some.select("token", *[F.col(c).alias(f"b{c[1:]}") for c in ("a", "a_n", "a_c", "a_flags")]).alias("y")
+            bounds = (F.col("a_c") != F.col("b_c")) & _fit(percent, "a_n", "b_n") & _near(percent, _apart("a_flags", "b_flags"), "a_n", "b_n")
+            met = x.join(y, (F.col("x.token") == F.col("y.token")) & bounds)
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = stored_once(_verified(stored_once(pairs.select("a", "b"), "join-pairs"), keys, texts, size, percent), "join-links")
         links = new if links is None else links.union(new)
         roots = components(links)
 
-    rows = rows.select("id", "text_key", "n", "k1", "k2", "row")
+    assert roots is not None
     own = members.select("k1", "k2", "n", "e")
-    named = rows.join(own, ["k1", "k2", "n"], "left").join(roots, F.col("e") == F.col("node"), "left")
+    named = rows.select("id", "text_key", "n", "k1", "k2").join(own, ["k1", "k2", "n"], "left").join(roots, F.col("e") == F.col("node"), "left")
     named = stored_once(named.select("id", "text_key", "n", F.coalesce("root", "e").alias("c")), "join-named")
     least = named.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("low"))
     return named.join(least, "c", "left").select(

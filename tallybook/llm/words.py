@@ -115,3 +115,11 @@ def shingles(codes: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         total = mixed(total + codes[i : i + n])
     return total
+
+
+def shingle_sets(codes: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of every row, in order of their codes. Runs are coded for all rows at once."""
+    runs = shingles(codes, size) if len(codes) >= size else codes[:0]
+    edges = bounds.tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield np.unique(runs[a : b - size + 1]) if b - a >= size else shingles(codes[a:b], size)
