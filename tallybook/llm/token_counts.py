@@ -27,8 +27,9 @@ from tallybook.llm.words import chunks, span_codes
 
 #: Entries of the broadcast table at most: 10 bytes each.
 TABLE_ENTRIES = 1 << 16
-#: Documents from which the table is fitted at most.
-SAMPLE_DOCS = 4096
+#: Documents from which the table is fitted at most, and the longest that is taken for it: they pass the driver.
+SAMPLE_DOCS = 2048
+SAMPLE_BYTES = 1 << 16
 #: Pre-tokens a Python worker remembers at most, before it starts anew.
 CACHE_ENTRIES = 1 << 20
 
@@ -72,22 +73,14 @@ def _lengths(model, found: list[bytes]) -> list[int]:
     return [len(x) or 1 for x in coded]
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for _, _, raw, starts, ends, _ in _pretokens(batch.column(0)):
-            data = raw.tobytes()
-            seen.update(data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a <= 64)
-            if len(seen) > 8 * TABLE_ENTRIES:
-                seen = Counter(dict(seen.most_common(4 * TABLE_ENTRIES)))
-    top = seen.most_common(TABLE_ENTRIES)
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.binary())], ["pretoken"])
-
-
 def frequent_table(docs: DataFrame, proto: bytes, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes of frequent pre-tokens and their lengths in tokens."""
-    rows = docs.select(text).limit(sample_docs).coalesce(1).mapInArrow(_frequent, "pretoken binary").collect()
-    found = sorted({bytes(r[0]) for r in rows})[:]
+    few = docs.select(F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample_docs).collect()
+    seen: Counter = Counter()
+    for _, _, raw, starts, ends, _ in _pretokens(pa.array([r["text"] for r in few], pa.string())):
+        data = raw.tobytes()
+        seen.update(data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    found = sorted(x for x, _ in seen.most_common(TABLE_ENTRIES))
     model, _ = _model(proto)
     lengths = np.array(_lengths(model, found), np.int64).astype(np.uint16) if found else np.zeros(0, np.uint16)
     raw = np.frombuffer(b"".join(found), np.uint8)
