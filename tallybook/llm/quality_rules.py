@@ -32,6 +32,8 @@ CUTOFF = 250.0
 FLOOR = 0.15**2
 SUPPORT = 0.75
 LEAST_ROWS = 50
+#: Parts into which the rows of a group are dealt when they meet its estimate.
+PARTS = 32
 
 
 def _repeat_words(words: Column) -> Column:
@@ -136,16 +138,22 @@ def _distance(fit: str) -> Column:
     return step(0, [])
 
 
+def _met(vectors: DataFrame, per_group: DataFrame) -> DataFrame:
+    """Rows with the values of their group. A group's rows are dealt to several parts, and its values to each of them."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    return vectors.join(per_group.withColumn("part", part), ["group", "part"])
+
+
 def fitted(vectors: DataFrame, support: float = SUPPORT, steps: int = 3, floor: float = FLOOR, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(group, fit, scale) of the groups with enough rows; ``vectors`` has ``group`` and ``x0`` to ``x4``."""
+    """(group, fit, scale) of the groups with enough rows; ``vectors`` has ``group``, ``part`` and ``x0`` to ``x4``."""
     sums = vectors.groupBy("group").agg(*_moments()).where(F.col("m") >= least_rows)
     fit = stored_once(_factored(sums, floor), "mcd-fit")
     for _ in range(steps):
-        far = vectors.join(fit, "group").withColumn("d2", _distance("fit"))
+        far = _met(vectors, fit).withColumn("d2", _distance("fit"))
         edge = far.groupBy("group").agg(F.percentile_approx("d2", F.lit(support), F.lit(1000)).alias("edge"))
-        near = far.join(edge, "group").groupBy("group").agg(*_moments(F.col("d2") <= F.col("edge")))
+        near = _met(far, edge).groupBy("group").agg(*_moments(F.col("d2") <= F.col("edge")))
         fit = stored_once(_factored(near, floor), "mcd-fit")
-    far = vectors.join(fit, "group").withColumn("d2", _distance("fit"))
+    far = _met(vectors, fit).withColumn("d2", _distance("fit"))
     scale = far.groupBy("group").agg((F.percentile_approx("d2", F.lit(0.5), F.lit(1000)) / MEDIAN_CHI2).alias("scale"))
     return fit.join(scale, "group").withColumn("scale", F.greatest("scale", F.lit(1.0)))
 
@@ -162,9 +170,11 @@ def judged(
     passed = F.count(F.when(~F.col("base_failed"), 1))
     large = rows.groupBy("own").agg(passed.alias("n")).where(F.col("n") >= how.get("least_rows", LEAST_ROWS)).select("own", F.col("own").alias("group"))
     rows = rows.join(large, "own", "left").withColumn("group", F.coalesce("group", "wide"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row_key"), F.lit(PARTS)).cast("int"))
     fits = fitted(rows.where(~F.col("base_failed")), **how)
     distance = _distance("fit") / F.col("scale")
-    return rows.join(fits, "group", "left").select(
+    fits = fits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.join(fits, ["group", "part"], "left").select(
         "doc_id", "row_key", *STATS, "base_failed", distance.alias("distance"),
         (~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))).alias("kept"),
     )
