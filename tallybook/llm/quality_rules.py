@@ -1,9 +1,12 @@
 """Quality rules with a robust test for outliers: minimum covariance determinant per language and source.
 
 Each text gives base statistics (word characters, symbols, repeated lines, words in repeated runs of three). A vector
-of transformed statistics is compared with its group, language and source: concentration steps start from the
-whole group, then keep the ``support`` share of rows nearest by Mahalanobis distance and estimate mean and covariance
-anew, so that the determinant falls with every step. A row is rejected if its squared distance from the robust centre,
+of transformed statistics is compared with its group, language and source. Each group has several starts: its medians
+and median deviations, and ``STARTS`` small subsets dealt by hash. From each, concentration steps keep the ``support`` share
+of vectors nearest by Mahalanobis distance and estimate mean and covariance anew, so that the determinant falls with
+every step; the start of lowest determinant is kept, and its estimate is taken once more over all vectors within the 97.5%
+quantile of it. Half of the vectors suffice, so junk below a half does not pass for the group's centre. Exact copies of a
+vector weigh once, so copied junk has no weight. A row is rejected if its squared distance from the robust centre,
 scaled so that the group's median has its expected value, exceeds ``cutoff``.
 
 Every step is two aggregates per group with partial sums in the map tasks and a quantile sketch; no group is ever
@@ -11,7 +14,7 @@ gathered, so a source with a third of all rows costs no more than its rows. ``fl
 is the least spread that counts, and keeps statistics which are constant in a group from rejecting small deviations.
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is a group value of its own;
-groups of fewer than ``least_rows`` rows are judged together per language, and where even those are fewer the test decides
+groups of fewer than ``least_rows`` distinct vectors are judged together per language, and where even those are fewer the test decides
 nothing and keeps; rows that repeat get equal verdicts; an empty table gives no rows.
 """
 
@@ -30,7 +33,12 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEDIAN_CHI2 = 4.351
 CUTOFF = 250.0
 FLOOR = 0.15**2
-SUPPORT = 0.75
+#: Chi-square quantile of 97.5% with five degrees of freedom: the vectors within make the last estimate.
+NEAR_CHI2 = 12.833
+SUPPORT = 0.5
+#: Starts from subsets dealt by hash, and about how many vectors each has.
+STARTS = 4
+SUBSET = 8
 LEAST_ROWS = 50
 #: Parts into which the rows of a group are dealt when they meet its estimate.
 PARTS = 32
@@ -99,18 +107,18 @@ _D = 5
 _PAIRS = [(i, j) for i in range(_D) for j in range(i + 1)]
 
 
-def _moments(weight: Column | None = None) -> list[Column]:
-    on = (lambda x: F.when(weight, x)) if weight is not None else (lambda x: x)
-    x = [F.col(f"x{i}") for i in range(_D)]
-    return [
-        F.count(on(F.lit(1))).alias("m"),
-        *[F.avg(on(x[i])).alias(f"m{i}") for i in range(_D)],
-        *[F.avg(on(x[i] * x[j])).alias(f"c{i}{j}") for i, j in _PAIRS],
-    ]
+_X = [f"x{i}" for i in range(_D)]
+#: Every estimate is known by its group and its start.
+_BY = ["group", "start"]
+
+
+def _moments() -> list[Column]:
+    x = [F.col(c) for c in _X]
+    return [*[F.avg(x[i]).alias(f"m{i}") for i in range(_D)], *[F.avg(x[i] * x[j]).alias(f"c{i}{j}") for i, j in _PAIRS]]
 
 
 def _factored(moments: DataFrame, floor: float) -> DataFrame:
-    """Centre and Cholesky factor of the covariance of every group, as one array column."""
+    """Centre and Cholesky factor of the covariance of every estimate, as one array column."""
     a = {(i, j): F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (floor if i == j else 0.0) for i, j in _PAIRS}
     df = moments
     for i, j in _PAIRS:
@@ -118,7 +126,7 @@ def _factored(moments: DataFrame, floor: float) -> DataFrame:
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor))) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.select("group", F.array(*[f"m{i}" for i in range(_D)], *[f"l{i}{j}" for i, j in _PAIRS]).alias("fit"))
+    return df.select(*_BY, F.array(*[f"m{i}" for i in range(_D)], *[f"l{i}{j}" for i, j in _PAIRS]).alias("fit"))
 
 
 def _distance(fit: str) -> Column:
@@ -144,18 +152,45 @@ def _met(vectors: DataFrame, per_group: DataFrame) -> DataFrame:
     return vectors.join(per_group.withColumn("part", part), ["group", "part"])
 
 
+def _median(x: Column) -> Column:
+    return F.percentile_approx(x, F.lit(0.5), F.lit(1000))
+
+
+def _starts(vectors: DataFrame, floor: float, least_rows: int) -> DataFrame:
+    """(group, start, fit): start 0 is the medians and median deviations, the others are subsets of about SUBSET vectors."""
+    middle = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[_median(F.col(c)).alias(f"m{i}") for i, c in enumerate(_X)])
+    middle = stored_once(middle.where(F.col("n") >= least_rows), "mcd-middle")
+    met = _met(vectors, middle)
+    spread = met.groupBy("group").agg(*[_median(F.abs(F.col(c) - F.col(f"m{i}"))).alias(f"s{i}") for i, c in enumerate(_X)])
+    factor = [F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + floor) if i == j else F.lit(0.0) for i, j in _PAIRS]
+    medians = middle.join(spread, "group").select("group", F.lit(0).alias("start"), F.array(*[f"m{i}" for i in range(_D)], *factor).alias("fit"))
+    dealt = met.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
+    dealt = dealt.where(F.expr(f"pmod(xxhash64(start, {', '.join(_X)}), n div {SUBSET} + 1) = 0"))
+    return medians.unionByName(_factored(dealt.groupBy(*_BY).agg(*_moments()), floor))
+
+
+def _scaled(vectors: DataFrame, fit: DataFrame) -> DataFrame:
+    """Estimates with the scale that gives the median distance its expected value, but never less than 1."""
+    scale = _met(vectors, fit).groupBy(*_BY).agg((_median(_distance("fit")) / MEDIAN_CHI2).alias("scale"))
+    return fit.join(scale, _BY).withColumn("scale", F.greatest("scale", F.lit(1.0)))
+
+
 def fitted(vectors: DataFrame, support: float = SUPPORT, steps: int = 3, floor: float = FLOOR, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(group, fit, scale) of the groups with enough rows; ``vectors`` has ``group``, ``part`` and ``x0`` to ``x4``."""
-    sums = vectors.groupBy("group").agg(*_moments()).where(F.col("m") >= least_rows)
-    fit = stored_once(_factored(sums, floor), "mcd-fit")
+    """(group, fit, scale) of the groups with enough rows; ``vectors`` has ``group``, ``part`` and ``x0`` to ``x4``, each vector once."""
+    fit = stored_once(_starts(vectors, floor, least_rows), "mcd-fit")
     for _ in range(steps):
-        far = _met(vectors, fit).withColumn("d2", _distance("fit"))
-        edge = far.groupBy("group").agg(F.percentile_approx("d2", F.lit(support), F.lit(1000)).alias("edge"))
-        near = _met(far, edge).groupBy("group").agg(*_moments(F.col("d2") <= F.col("edge")))
-        fit = stored_once(_factored(near, floor), "mcd-fit")
-    far = _met(vectors, fit).withColumn("d2", _distance("fit"))
-    scale = far.groupBy("group").agg((F.percentile_approx("d2", F.lit(0.5), F.lit(1000)) / MEDIAN_CHI2).alias("scale"))
-    return fit.join(scale, "group").withColumn("scale", F.greatest("scale", F.lit(1.0)))
+        edge = _met(vectors, fit).groupBy(*_BY).agg(F.percentile_approx(_distance("fit"), F.lit(support), F.lit(1000)).alias("edge"))
+        bounded = stored_once(fit.join(edge, _BY), "mcd-edge")
+        near = _met(vectors, bounded).where(_distance("fit") <= F.col("edge"))
+        fit = stored_once(_factored(near.groupBy(*_BY).agg(*_moments()), floor), "mcd-fit")
+    spread = F.lit(0.0)
+    for i in range(_D):
+        spread = spread + F.log(F.col("fit")[_D + _PAIRS.index((i, i))])
+    best = fit.groupBy("group").agg(F.min_by(F.struct("start", "fit"), F.struct(spread, "start")).alias("best")).select("group", "best.*")
+    raw = stored_once(_scaled(vectors, best), "mcd-fit")
+    near = _met(vectors, raw).where(_distance("fit") <= NEAR_CHI2 * F.col("scale"))
+    fit = stored_once(_factored(near.groupBy(*_BY).agg(*_moments()), floor), "mcd-fit")
+    return _scaled(vectors, fit).drop("start")
 
 
 def judged(
@@ -167,11 +202,14 @@ def judged(
     stats = docs.select(F.col(key).alias("doc_id"), row_key(key, text, group).alias("row_key"), name.alias("own"), wide.alias("wide"), statistics(F.col(text)).alias("s"))
     stats = stats.select("doc_id", "row_key", "own", "wide", "s.*").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     rows = stored_once(stats.select("*", *[x.cast("double").alias(f"x{i}") for i, x in enumerate(_vector())]), "quality-stats")
-    passed = F.count(F.when(~F.col("base_failed"), 1))
-    large = rows.groupBy("own").agg(passed.alias("n")).where(F.col("n") >= how.get("least_rows", LEAST_ROWS)).select("own", F.col("own").alias("group"))
+    passed = rows.where(~F.col("base_failed"))
+    sizes = passed.select("own", *_X).distinct().groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") >= how.get("least_rows", LEAST_ROWS)).select("own", F.col("own").alias("group"))
     rows = rows.join(large, "own", "left").withColumn("group", F.coalesce("group", "wide"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("row_key"), F.lit(PARTS)).cast("int"))
-    fits = fitted(rows.where(~F.col("base_failed")), **how)
+    vectors = rows.where(~F.col("base_failed")).select("group", *_X).distinct()
+    vectors = stored_once(vectors.withColumn("part", F.pmod(F.xxhash64(*_X), F.lit(PARTS)).cast("int")), "quality-vectors")
+    fits = fitted(vectors, **how)
     distance = _distance("fit") / F.col("scale")
     fits = fits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     return rows.join(fits, ["group", "part"], "left").select(
