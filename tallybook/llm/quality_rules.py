@@ -31,7 +31,8 @@ SYMBOL = r"[#*$%&|<>]"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Half of the chi-square distribution with five degrees of freedom lies below.
 MEDIAN_CHI2 = 4.351
-CUTOFF = 250.0
+#: One normal row in a billion lies beyond: the chi-square quantile with five degrees of freedom.
+CUTOFF = 50.692
 FLOOR = 0.15**2
 #: Chi-square quantile of 97.5% with five degrees of freedom: the vectors within make the last estimate.
 NEAR_CHI2 = 12.833
@@ -92,14 +93,18 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def _vector() -> list[Column]:
-    """Transformed statistics: near normal for ordinary texts of any length."""
+    """Transformed statistics: near normal for ordinary texts of any length.
+
+    Shares of repeated lines and words stay linear, so that heavy repetition alone can exceed the cutoff. They are taken of two lines
+    and twenty words more than the text has, for one repeated line of a short text says little.
+    """
     words, c = F.greatest(F.col("n_words"), F.lit(1)), F.col
     return [
         F.log(words),
         3.0 * F.log(F.greatest(c("word_chars"), F.lit(1)) / words),
         F.log1p(200.0 * c("n_symbols") / F.greatest(c("word_chars"), F.lit(1))),
-        F.log1p(5.0 * c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1))),
-        F.log1p(5.0 * c("n_repeat_words") / words),
+        3.0 * c("n_dup_lines") / (c("n_lines") + 2),
+        3.0 * c("n_repeat_words") / (c("n_words") + 20),
     ]
 
 
