@@ -14,8 +14,8 @@ gathered, so a source with a third of all rows costs no more than its rows. ``fl
 is the least spread that counts, and keeps statistics which are constant in a group from rejecting small deviations.
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is a group value of its own;
-groups of fewer than ``least_rows`` distinct vectors are judged together per language, and where even those are fewer the test decides
-nothing and keeps; rows that repeat get equal verdicts; an empty table gives no rows.
+rows of a group with fewer than ``least_rows`` distinct vectors meet the estimate of all rows of their language, where even
+those are fewer that of all rows, and where all rows are fewer the test decides nothing and keeps; rows that repeat get equal verdicts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -208,11 +208,15 @@ def judged(
     stats = stats.select("doc_id", "row_key", "own", "wide", "s.*").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     rows = stored_once(stats.select("*", *[x.cast("double").alias(f"x{i}") for i, x in enumerate(_vector())]), "quality-stats")
     passed = rows.where(~F.col("base_failed"))
-    sizes = passed.select("own", *_X).distinct().groupBy("own").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") >= how.get("least_rows", LEAST_ROWS)).select("own", F.col("own").alias("group"))
-    rows = rows.join(large, "own", "left").withColumn("group", F.coalesce("group", "wide"))
+    # Levels of a row: its source, its language, the table. The first with enough vectors, which sorts lowest, judges it.
+    levels = F.explode(F.array(F.concat(F.lit("0:"), "own"), F.concat(F.lit("1:"), "wide"), F.lit("2:"))).alias("group")
+    seen = stored_once(passed.select(levels, *_X).distinct(), "quality-seen")
+    enough = seen.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= how.get("least_rows", LEAST_ROWS)).select("group")
+    sources = rows.select("own", "wide").distinct().select("own", "wide", levels).join(enough, "group")
+    sources = stored_once(sources.groupBy("own", "wide").agg(F.min("group").alias("group")), "quality-levels")
+    rows = rows.join(sources, ["own", "wide"], "left")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("row_key"), F.lit(PARTS)).cast("int"))
-    vectors = rows.where(~F.col("base_failed")).select("group", *_X).distinct()
+    vectors = seen.join(sources.select("group").distinct(), "group", "left_semi")
     vectors = stored_once(vectors.withColumn("part", F.pmod(F.xxhash64(*_X), F.lit(PARTS)).cast("int")), "quality-vectors")
     fits = fitted(vectors, **how)
     distance = _distance("fit") / F.col("scale")
