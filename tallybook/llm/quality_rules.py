@@ -123,7 +123,7 @@ def _moments() -> list[Column]:
 
 
 def _factored(moments: DataFrame, floor: float) -> DataFrame:
-    """Centre and Cholesky factor of the covariance of every estimate, as one array column."""
+    """Centre and inverse Cholesky factor of the covariance of every estimate, as one array column."""
     a = {(i, j): F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (floor if i == j else 0.0) for i, j in _PAIRS}
     df = moments
     for i, j in _PAIRS:
@@ -131,24 +131,23 @@ def _factored(moments: DataFrame, floor: float) -> DataFrame:
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor))) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.select(*_BY, F.array(*[f"m{i}" for i in range(_D)], *[f"l{i}{j}" for i, j in _PAIRS]).alias("fit"))
+    for i, j in _PAIRS:
+        rest = F.lit(1.0 if i == j else 0.0)
+        for k in range(j, i):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"k{k}{j}")
+        df = df.withColumn(f"k{i}{j}", rest / F.col(f"l{i}{i}"))
+    return df.select(*_BY, F.array(*[f"m{i}" for i in range(_D)], *[f"k{i}{j}" for i, j in _PAIRS]).alias("fit"))
 
 
 def _distance(fit: str) -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-
-    def step(i: int, solved: list[Column]) -> Column:
-        if i == _D:
-            total = solved[0] * solved[0]
-            for y in solved[1:]:
-                total = total + y * y
-            return total
-        rest = F.col(f"x{i}") - F.col(fit)[i]
-        for k in range(i):
-            rest = rest - F.col(fit)[_D + _PAIRS.index((i, k))] * solved[k]
-        return let(rest / F.col(fit)[_D + _PAIRS.index((i, i))], lambda y: step(i + 1, [*solved, y]))
-
-    return step(0, [])
+    """Squared Mahalanobis distance, in plain arithmetic that is compiled."""
+    total = F.lit(0.0)
+    for i in range(_D):
+        y = F.lit(0.0)
+        for j in range(i + 1):
+            y = y + (F.col(f"x{j}") - F.col(fit)[j]) * F.col(fit)[_D + _PAIRS.index((i, j))]
+        total = total + F.pow(y, 2)
+    return total
 
 
 def _met(vectors: DataFrame, per_group: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def _starts(vectors: DataFrame, floor: float, least_rows: int) -> DataFrame:
     middle = stored_once(middle.where(F.col("n") >= least_rows), "mcd-middle")
     met = _met(vectors, middle)
     spread = met.groupBy("group").agg(*[_median(F.abs(F.col(c) - F.col(f"m{i}"))).alias(f"s{i}") for i, c in enumerate(_X)])
-    factor = [F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + floor) if i == j else F.lit(0.0) for i, j in _PAIRS]
+    factor = [1.0 / F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + floor) if i == j else F.lit(0.0) for i, j in _PAIRS]
     medians = middle.join(spread, "group").select("group", F.lit(0).alias("start"), F.array(*[f"m{i}" for i in range(_D)], *factor).alias("fit"))
     dealt = met.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
     dealt = dealt.where(F.expr(f"pmod(xxhash64(start, {', '.join(_X)}), n div {SUBSET} + 1) = 0"))
@@ -190,7 +189,7 @@ def fitted(vectors: DataFrame, support: float = SUPPORT, steps: int = 3, floor:
         fit = stored_once(_factored(near.groupBy(*_BY).agg(*_moments()), floor), "mcd-fit")
     spread = F.lit(0.0)
     for i in range(_D):
-        spread = spread + F.log(F.col("fit")[_D + _PAIRS.index((i, i))])
+        spread = spread - F.log(F.col("fit")[_D + _PAIRS.index((i, i))])
     best = fit.groupBy("group").agg(F.min_by(F.struct("start", "fit"), F.struct(spread, "start")).alias("best")).select("group", "best.*")
     raw = stored_once(_scaled(vectors, best), "mcd-fit")
     near = _met(vectors, raw).where(_distance("fit") <= NEAR_CHI2 * F.col("scale"))
