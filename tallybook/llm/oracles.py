@@ -101,4 +101,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN n USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES = {"op1_secret_scans": OP1, "op2_source_mix": OP2, "op10_wu_manber": OP10}
+OP11 = r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+f AS (
+    SELECT lang, k, phrase, count(*) AS n
+    FROM (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+            FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS k FROM pieces) WHERE len(w) >= k))
+    GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(n)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 100),
+cuts AS (
+    SELECT c.lang, c.k, c.phrase, c.a, c.j, x.n AS l, y.n AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.n::HUGEINT * y.n) AS score
+    FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM candidates) c
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:c.k], ' ')
+    JOIN total t ON t.lang = c.lang),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+    SELECT * FROM worst c WHERE NOT EXISTS (
+        SELECT 1 FROM candidates o WHERE o.lang = c.lang AND o.k > c.k AND 100 * o.a >= 100 * c.a
+            AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {"op1_secret_scans": OP1, "op2_source_mix": OP2, "op10_wu_manber": OP10, "op11_collocations": OP11}

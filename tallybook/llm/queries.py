@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import (
     class_lm,
+    collocations,
     factorization,
     language,
     mixing,
@@ -107,6 +108,10 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_source_mix": op2_source_mix,
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_prefix_join": op9_prefix_join,
     "op10_wu_manber": op10_wu_manber,
+    "op11_collocations": op11_collocations,
 }
 
 
