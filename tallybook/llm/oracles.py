@@ -133,4 +133,39 @@ SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BI
 FROM ranked WHERE rank <= 2000
 """
 
-ORACLES = {"op1_secret_scans": OP1, "op2_source_mix": OP2, "op10_wu_manber": OP10, "op11_collocations": OP11}
+OP13 = rf"""
+WITH crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PLAIN}') AS w FROM documents),
+b AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PLAIN}') AS w FROM benchmark),
+docs AS (SELECT r, unnest(w) AS word FROM d),
+items AS (SELECT unnest(w) AS word FROM b),
+hexes AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM docs UNION SELECT word FROM items)),
+codes AS (
+    SELECT word, xor(list_reduce(
+        list_prepend(4294967295, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)),
+        lambda c, v: xor(c >> 8, steps[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM hexes, crc),
+s AS (SELECT bucket, count(*) AS n FROM docs JOIN codes USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM items JOIN codes USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM docs)::DOUBLE AS sn, (SELECT count(*) FROM items)::DOUBLE AS tn),
+gain AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (sn + 10000) / ((s.n::DOUBLE + 1) * (tn + 10000))))::BIGINT AS gain
+    FROM s LEFT JOIN t USING (bucket), totals),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM docs JOIN codes USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+    SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+            / 4294967296)))::BIGINT AS score
+    FROM d LEFT JOIN weights USING (r)),
+ranked AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+ORACLES = {"op1_secret_scans": OP1, "op2_source_mix": OP2, "op10_wu_manber": OP10, "op11_collocations": OP11, "op13_importance": OP13}

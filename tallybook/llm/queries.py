@@ -12,18 +12,22 @@ from tallybook.llm import (
     class_lm,
     collocations,
     factorization,
+    importance,
     language,
     mixing,
     prefix_join,
     quality_rules,
     secret_scan,
     token_counts,
+    token_files,
     url_rules,
     wu_manber,
 )
 from tallybook.llm.oracles import ORACLES
+from tallybook.sources.scratch import new_folder, stored_once
 
 TOKENIZER = "piece_bpe_32k.model"
+OUTPUT_TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 #: Verdict and rule of the listed URL rules.
 URL_RULES = [
@@ -112,6 +116,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(OUTPUT_TOKENIZER), path)
+    read = token_files.documents(spark, path).select("key", "part", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    placed = token_files.with_starts(stored_once(read, "tokens-read"))
+    return placed.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")
+    return importance.resampled(docs, target).select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_source_mix": op2_source_mix,
@@ -124,6 +141,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_join": op9_prefix_join,
     "op10_wu_manber": op10_wu_manber,
     "op11_collocations": op11_collocations,
+    "op12_token_files": op12_token_files,
+    "op13_importance": op13_importance,
 }
 
 
