@@ -7,6 +7,7 @@ derived from all rows of the tables. Reports that exist on both stars carry ``_l
 from __future__ import annotations
 
 import importlib
+import importlib.util
 import os
 import sys
 import uuid
@@ -791,21 +792,21 @@ UNION ALL (SELECT 'top_customers', CAST(user_id AS VARCHAR), CAST(total_spent AS
 # ------------------------------------------------------------------- optional operators for training data
 
 
-def _optional(*modules: str) -> None:
-    """Queries of modules that may be absent; an import that fails for another reason still fails."""
+def _optional(package: str, *modules: str) -> None:
+    """Queries of modules that may be absent, all of which need the package. Only what is absent is left out: a module that is there is
+    imported, and whatever goes wrong in it is raised. A folder without a module of its own, as deleting may leave it, is no package."""
+    found = importlib.util.find_spec(package)
+    if found is None or found.origin is None:
+        return
     for module in modules:
-        try:
-            found = importlib.import_module(module)
-        except ModuleNotFoundError as error:
-            if error.name is None or not (module == error.name or module.startswith(f"{error.name}.")):
-                raise
-            continue
-        sql = found.oracle_sql()
-        for name, query in found.queries().items():
-            plain(name, query, sql.get(name))
-
-
-_optional("tallybook.llm.queries", "corpus_pipeline")
+        if importlib.util.find_spec(module) is not None:
+            loaded = importlib.import_module(module)
+            sql = loaded.oracle_sql()
+            for name, query in loaded.queries().items():
+                plain(name, query, sql.get(name))
+
+
+_optional("tallybook.llm", "tallybook.llm.queries", "corpus_pipeline")
 
 
 # ------------------------------------------------------------------------------------------- entry points
