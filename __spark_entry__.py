@@ -141,6 +141,13 @@ def s03_text(spark, sf_dir):
     return feeds.copy_csv(spark, path, T.StructType.fromDDL("doc_id bigint, text string"))[0]
 
 
+def s01_text(spark, sf_dir):
+    """Every text, most with line breaks inside quotes, in one file that many tasks read."""
+    path = new_folder(spark, "feed-texts")
+    feeds.write_csv(b.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(1), path)
+    return feeds.read_feed(spark, path, ["doc_id", "text"])
+
+
 def s04(name):
     def published(raw_feeds):
         spark = raw_feeds["users"].sparkSession
@@ -169,6 +176,7 @@ plain("s02_copy_rejects", s02_rejects, """
 SELECT 'loaded' AS outcome, COUNT(*) AS row_count FROM events WHERE event_type NOT IN ('click', 'error', 'view')
 UNION ALL SELECT 'number of fields or quotes', COUNT(*) FROM events WHERE event_type IN ('click', 'error')
 UNION ALL SELECT 'user_id does not convert', COUNT(*) FROM events WHERE event_type = 'view'""")
+plain("s01_read_feed_text", s01_text, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text FROM documents")
 plain("s03_write_csv_text", s03_text, "SELECT doc_id, nullif(text, '') AS text FROM documents")
 raw("s03_write_csv", s03, "SELECT user_id, name, email, location, CAST(signup_date AS DATE) AS signup_date, "
     f"social_security_number FROM ({o.USERS_FILE})")

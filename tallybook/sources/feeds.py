@@ -14,6 +14,7 @@ from tallybook.functions.text import empty_to_null
 from tallybook.operators.cleaning import fill_null_text, repair_utf8, truncate_text
 from tallybook.operators.quality import split_rejects
 from tallybook.schemas import LOAD_SCHEMAS, RAW_COLUMNS, TEXT_WIDTHS
+from tallybook.sources.records import read_records
 
 # Quotes inside a field are doubled and blanks belong to the field, on both sides.
 CSV_FORM = {
@@ -27,14 +28,30 @@ CSV_FORM = {
 CORRUPT = "_corrupt_record"
 
 
+def _parsed(records: Column, names: list[str]) -> Column:
+    """The fields of a record's text as a struct of texts."""
+    fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    form = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_FORM.items() if k != "header"}
+    return F.from_csv(records, F.lit(fields), {**form, "multiLine": "true", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def _feed(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All columns in a feed's header and all its records, as text."""
+    plain = spark.read.options(**CSV_FORM, multiLine=multi_line).csv(path)
+    if not multi_line or not plain.columns:
+        return plain
+    fields = read_records(spark, path).where(~F.col("head")).select(_parsed(F.col("record"), plain.columns).alias("r"))
+    return fields.select("r.*")
+
+
 def read_feed(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
     """One raw feed, every column as text under the names in its header.
 
-    Only the header line is read to learn the names: there is no pass over the data to guess types.
-    ``multi_line`` admits line breaks inside quoted fields, at the price of one task per file; a feed is best
-    kept as many files. Turn it off only for feeds known to have none.
+    Only the header is read to learn the names: there is no pass over the data to guess types.
+    ``multi_line`` admits line breaks inside quoted fields; a file is read by many tasks in both cases (``records``),
+    but twice with it. Turn it off for feeds known to have none.
     """
-    df = spark.read.options(**CSV_FORM, multiLine=multi_line).csv(path)
+    df = _feed(spark, path, multi_line)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks columns {missing}")
@@ -68,18 +85,20 @@ def _converted(field: T.StructField, ts_form: str) -> Column:
 
 def _records(spark: SparkSession, path: str, names: list[str], multi_line: bool) -> tuple[DataFrame, Column]:
     """The records as text with the raw text of a malformed one beside it, and whether a record is whole."""
-    fields = ", ".join(f"`{c}` string" for c in [*names, CORRUPT])
     if multi_line:
-        form = {**CSV_FORM, "multiLine": True, "enforceSchema": False, "columnPruning": False}
-        raw = spark.read.schema(fields).options(**form, columnNameOfCorruptRecord=CORRUPT).csv(path)
+        header = spark.read.options(**CSV_FORM, multiLine=True).csv(path).columns
+        if header and header != names:
+            raise ValueError(f"{path} has the header {header!r}, expected {names}")
+        records = read_records(spark, path).where(~F.col("head"))
+        parsed = records.select(_parsed(F.col("record"), [*names, CORRUPT]).alias("r"), F.when(F.col("open"), F.col("record")).alias("open"))
+        raw = parsed.select(*[F.col(f"r.`{c}`") for c in names], F.coalesce("open", f"r.{CORRUPT}").alias(CORRUPT))
         return raw, F.col(CORRUPT).isNull()
     lines = spark.read.text(path)
     head = lines.first()
     header = head["value"] if head else ",".join(names)
     if [c.strip('"') for c in header.split(",")] != names:
         raise ValueError(f"{path} has the header {header!r}, expected {names}")
-    form = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_FORM.items() if k != "header"}
-    parsed = F.from_csv("value", F.lit(fields), {**form, "columnNameOfCorruptRecord": CORRUPT})
+    parsed = _parsed(F.col("value"), [*names, CORRUPT])
     # A quote that stays open would swallow the rest of its line without a complaint from the parser.
     open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
     records = lines.filter((F.col("value") != header) & (F.col("value") != "")).select(
@@ -136,7 +155,7 @@ def publish(
     outcome = {}
     for name in RAW_COLUMNS:
         try:
-            feed = spark.read.options(**CSV_FORM, multiLine=multi_line).csv(f"{source.rstrip('/')}/{name}.csv")
+            feed = _feed(spark, f"{source.rstrip('/')}/{name}.csv", multi_line)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
