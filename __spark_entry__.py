@@ -26,10 +26,10 @@ from tallybook import bindings as b
 from tallybook.functions import labels, rules
 from tallybook.functions.dates import date_id
 from tallybook.operators import cleaning, dimensions, facts, merging, paging, quality
-from tallybook.pipeline import clean_feeds, load_all, load_counts
+from tallybook.pipeline import DAILY_PART, clean_feeds, load_all, load_counts
 from tallybook.plans import books, catalog, customers, dashboard, insights, overview, sales, summaries, views
 from tallybook.schemas import LOAD_SCHEMAS, TEXT_WIDTHS
-from tallybook.sources import feeds, tables
+from tallybook.sources import feeds, manifest, tables
 from tallybook.sources.scratch import new_folder, stored_once
 from tallybook.star import Star
 
@@ -462,6 +462,9 @@ def d10_append(raw_feeds):
 # Books without a known year are rejected from the dimension; the sales of those books stay in the fact.
 _LOADED = f", sales AS ({o.FACT})"
 raw("d10_load_all", d10(summaries.DAILY), f"{_LOADED}, {o.M01.strip()} SELECT * FROM daily")
+raw("d10_load_append_daily", lambda r: d10_append(r)[0].daily.drop("created_at", "updated_at"), f"{_LOADED}, {o.M01.strip()} SELECT * FROM daily")
+raw("d10_load_append_books", lambda r: d10_append(r)[0].book_performance.drop("created_at", "updated_at"),
+    f"{_LOADED}, {o.M02.strip()} SELECT * FROM performance")
 raw("d10_load_all_users", d10("dim_users"), o.DIM_USERS)
 raw("d10_load_all_books", d10("dim_books"), f"SELECT * FROM ({o.DIM_BOOKS}) WHERE publication_year IS NOT NULL")
 raw("d10_load_all_sales", d10("fact_sales"), o.FACT)
@@ -630,6 +633,22 @@ def m03(name):
     return refreshed
 
 
+def m03_parts(star):
+    """A daily summary stored by month up to ``LINES_FROM``, then brought up to date with the later days: its rows, and per month
+    the days and whether its files were kept."""
+    spark, root = star.sales.sparkSession, new_folder(star.sales.sparkSession, "parts")
+    early = summaries.daily_sales_summary(star.sales.filter(F.col("date_id") < date_id(F.lit(LINES_FROM))))
+    late = summaries.daily_sales_summary(facts.sales_between(star.sales, start=LINES_FROM))
+    first = manifest.merge_parts(spark, root, summaries.DAILY, [], early, "date_id", DAILY_PART)
+    second = manifest.merge_parts(spark, root, summaries.DAILY, first, late, "date_id", DAILY_PART)
+    rows = manifest.read_table(spark, root, summaries.DAILY, second).drop("created_at", "updated_at")
+    months = spark.createDataFrame([(int(p.rpartition("=")[2]), p in first) for p in second], "month bigint, kept boolean")
+    return rows, rows.groupBy(F.expr(DAILY_PART).alias("month")).agg(F.count("*").alias("days")).join(months, "month")
+
+
+li("m03_merge_parts_lines", lambda s: m03_parts(s)[0], f", {o.M01.strip()} SELECT * FROM daily")
+li("m03_kept_parts_lines", lambda s: m03_parts(s)[1], f""", {o.M01.strip()}
+SELECT CAST(date_id // 100 AS BIGINT) AS month, COUNT(*) AS days, date_id // 100 < {LINES_FROM:%Y%m} AS kept FROM daily GROUP BY 1, 3""")
 ev("m03_refresh_summaries", m03(summaries.BOOKS), f", {o.M02.strip()} SELECT * FROM performance")
 ev("m03_refresh_summaries_daily", m03(summaries.DAILY), f", {o.M01.strip()} SELECT * FROM daily")
 ev("m04_monthly_sales_summary", summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)

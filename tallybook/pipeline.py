@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import date
 from functools import reduce
 
@@ -16,16 +16,25 @@ from tallybook.operators.quality import REASONS, not_null_rules, reject_counts,
 from tallybook.plans.summaries import book_performance, daily_sales_summary
 from tallybook.schemas import NOT_NULL, TEXT_WIDTHS
 from tallybook.sources.feeds import path_exists
+from tallybook.sources.manifest import Listing, commit, listing, merge_parts, new_load, read_table
+from tallybook.sources.scratch import stored_once
 from tallybook.sources.tables import read_star, write_dimension, write_fact
 from tallybook.star import Star
 
 
 def clean_feeds(
-    raw: Mapping[str, DataFrame], lo: float = 0, hi: float = 10000, stored: Star | None = None
+    raw: Mapping[str, DataFrame],
+    lo: float = 0,
+    hi: float = 10000,
+    stored: Star | None = None,
+    kept: Callable[[DataFrame, str], DataFrame] = lambda df, _: df,
 ) -> dict[str, DataFrame]:
-    """Clean the three feeds and keep the transactions whose user and book survived or are stored already."""
-    users = cleaning.clean_users(raw["users"])
-    books = cleaning.clean_books(raw["books"])
+    """Clean the three feeds and keep the transactions whose user and book survived or are stored already.
+
+    ``kept`` is given each cleaned feed with its name, to store it before it is read several times.
+    """
+    users = kept(cleaning.clean_users(raw["users"]), "users")
+    books = kept(cleaning.clean_books(raw["books"]), "books")
     transactions = cleaning.clean_transactions(raw["transactions"], lo, hi)
     known_users, known_books = users, books
     if stored is not None:
@@ -34,7 +43,7 @@ def clean_feeds(
     return {
         "users": users,
         "books": books,
-        "transactions": cleaning.referential_filter(transactions, known_users, known_books),
+        "transactions": kept(cleaning.referential_filter(transactions, known_users, known_books), "transactions"),
     }
 
 
@@ -84,6 +93,20 @@ def build_star(
     return star, {name: rejected for name, (_, rejected) in split.items()}
 
 
+#: Parts of the stored summaries that are rewritten as a whole: the days of a month, and so many shares of the books.
+DAILY_PART = "date_id DIV 100"
+BOOK_PART = "pmod(xxhash64(book_id), 16)"
+
+
+def _summaries(star: Star, fresh: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Daily and book summary of the stored sales, or of the days and books that ``fresh`` sales touch."""
+    if fresh is None:
+        return daily_sales_summary(star.sales), book_performance(star.sales, star.dates)
+    of_days = star.sales.join(fresh.select("date_id").distinct(), "date_id", "left_semi")
+    of_books = star.sales.join(fresh.select("book_id").distinct(), "book_id", "left_semi")
+    return daily_sales_summary(of_days), book_performance(of_books, star.dates)
+
+
 def load_all(
     spark: SparkSession,
     raw: Mapping[str, DataFrame],
@@ -98,34 +121,59 @@ def load_all(
     """Load everything below ``root``: calendar, users, books, sales, then the two summaries.
 
     ``mode="append"`` adds to what is stored there: stored rows win over new ones of the same key, and a first
-    load is the same in both modes. A sale may name a user or book of this load or a stored one. Rejects are stored below ``root/rejects`` and returned as read back. The summaries are computed from
-    the stored sales, not from the feeds again. All tables but the calendar carry ``created_at`` and ``updated_at``.
+    load is the same in both modes. A sale may name a user or book of this load or a stored one. Rejects are stored and returned
+    as read back. All tables but the calendar carry ``created_at`` and ``updated_at``.
+
+    Each cleaned feed is stored once and its rows are then told apart. All tables go to folders of this load, and the
+    last step lists them (``sources.manifest``): until then readers see the load before, and a load that died can be run
+    again as if it had never been. An append computes anew the summary rows of the days and books it touches, and rewrites the parts
+    of the summaries that hold them.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode must be 'overwrite' or 'append', got {mode!r}")
     root = root.rstrip("/")
-    stored = None
-    if mode == "append" and path_exists(spark, f"{root}/fact_sales"):
-        stored = read_star(spark, root, summaries=False)
-    else:
-        mode = "overwrite"
-    calendar = dimensions.dim_date(spark, style="mon1") if dates is None else dates
-    feeds = clean_feeds(raw, lo, hi, stored)
-    star, rejects = build_star(feeds, calendar, as_of, stored)
-    for name, rejected in rejects.items():
-        rejected.write.mode(mode).parquet(f"{root}/rejects/{name}")
-    if stored is None:
-        write_dimension(star.dates, f"{root}/dim_date")
-    # Sales first: their check against users and books must not see what this load stores.
-    write_fact(stamped(star.sales, now), f"{root}/fact_sales", mode)
-    write_dimension(stamped(star.users, now), f"{root}/dim_users", mode)
-    write_dimension(stamped(star.books, now), f"{root}/dim_books", mode)
-    loaded = read_star(spark, root, summaries=False)
-    daily = daily_sales_summary(loaded.sales)
-    per_book = book_performance(loaded.sales, loaded.dates)
-    write_dimension(stamped(daily, now), f"{root}/fact_daily_sales_summary")
-    write_dimension(stamped(per_book, now), f"{root}/fact_book_performance")
-    return read_star(spark, root), {name: spark.read.parquet(f"{root}/rejects/{name}") for name in rejects}
+    before = listing(spark, root)
+    if mode == "append" and not before.version and path_exists(spark, f"{root}/fact_sales"):
+        raise ValueError(f"{root} was not stored by a load: load it with mode='overwrite' first")
+    appends = mode == "append" and before.version > 0
+    stored = read_star(spark, root, summaries=False, listed=before) if appends else None
+    listed = dict(before.tables) if appends else {}
+    load = new_load()
+
+    def add(name: str, df: DataFrame, write: Callable[[DataFrame, str], None] = write_dimension) -> DataFrame:
+        write(df, f"{root}/{name}/{load}")
+        listed[name] = [*listed.get(name, []), load]
+        return read_table(spark, root, name, [load], df.schema)
+
+    if not appends:
+        add("dim_date", dimensions.dim_date(spark, style="mon1") if dates is None else dates)
+    feeds = clean_feeds(raw, lo, hi, stored, kept=lambda df, name: stored_once(df, f"load-{name}"))
+    shaped = {
+        "dim_users": (dimensions.dim_users(feeds["users"], as_of), stored and stored.users, write_dimension),
+        "dim_books": (dimensions.dim_books(feeds["books"], as_of), stored and stored.books, write_dimension),
+        "fact_sales": (fact_sales(feeds["transactions"]), stored and stored.sales, write_fact),
+    }
+    added, rejects = {}, {}
+    for name, (df, target, write) in shaped.items():
+        ok, rejected = _storable(df, name)
+        key, *order = FIRST_ROW[name]
+        firsts = insert_ignore(ok, key, *order)
+        fresh = firsts if target is None else firsts.join(target.select(key), key, "left_anti").select(*firsts.columns)
+        added[name] = add(name, stamped(fresh, now), write)
+        # Later rows of a key are those that were not stored just now.
+        later = later_per_key(ok, added[name].select(*ok.columns), key).withColumn(REASONS, F.array(F.lit(DUPLICATE)))
+        add(f"rejects/{name}", rejected.unionByName(later))
+        rejects[name] = f"rejects/{name}"
+
+    loaded = read_star(spark, root, summaries=False, listed=Listing(before.version + 1, listed))
+    daily, per_book = _summaries(loaded, added["fact_sales"] if appends else None)
+    for name, summary, key, part in (
+        ("fact_daily_sales_summary", daily, "date_id", DAILY_PART),
+        ("fact_book_performance", per_book, "book_id", BOOK_PART),
+    ):
+        listed[name] = merge_parts(spark, root, name, listed.get(name, []), summary, key, part, now)
+    after = commit(spark, root, before, listed)
+    return read_star(spark, root, listed=after), {name: read_table(spark, root, path, listed[path]) for name, path in rejects.items()}
 
 
 def load_counts(star: Star, rejects: Mapping[str, DataFrame]) -> DataFrame:

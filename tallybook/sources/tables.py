@@ -11,9 +11,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.operators.merging import stamped, upsert
 from tallybook.schemas import STAR_SCHEMAS
+from tallybook.sources.manifest import Listing, listing, read_table
 from tallybook.sources.scratch import new_folder
 from tallybook.star import Star
 
@@ -49,11 +51,17 @@ def create_star(star: Star, root: str, overwrite: bool = True, by_day: bool = Tr
     return read_star(spark, root, summaries="fact_daily_sales_summary" in stored)
 
 
-def read_star(spark: SparkSession, root: str, summaries: bool = True) -> Star:
-    """The star stored below ``root``. Column order follows the schemas, wherever the partition column is."""
+def read_star(spark: SparkSession, root: str, summaries: bool = True, listed: Listing | None = None) -> Star:
+    """The star stored below ``root``, as its newest list says, or as it lies there if it has none. Column order follows the
+    schemas, wherever the partition column is."""
+    listed = listing(spark, root) if listed is None else listed
 
     def table(name: str) -> DataFrame:
-        df = spark.read.parquet(f"{root}/{name}")
+        if listed.version:
+            stamps = [] if name == "dim_date" else [T.StructField(c, T.TimestampNTZType()) for c in ("created_at", "updated_at")]
+            df = read_table(spark, root, name, listed.tables.get(name, []), T.StructType([*STAR_SCHEMAS[name].fields, *stamps]))
+        else:
+            df = spark.read.parquet(f"{root}/{name}")
         known = [c for c in STAR_SCHEMAS[name].names if c in df.columns]
         return df.select(*known, *[c for c in df.columns if c not in known])
 
