@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,25 +155,36 @@ def load_all(
         "dim_books": (dimensions.dim_books(feeds["books"], as_of), stored and stored.books, write_dimension),
         "fact_sales": (fact_sales(feeds["transactions"]), stored and stored.sales, write_fact),
     }
-    added, rejects = {}, {}
-    for name, (df, target, write) in shaped.items():
+
+    def load_table(name: str) -> DataFrame:
+        df, target, write = shaped[name]
         ok, rejected = _storable(df, name)
         key, *order = FIRST_ROW[name]
         firsts = insert_ignore(ok, key, *order)
         fresh = firsts if target is None else firsts.join(target.select(key), key, "left_anti").select(*firsts.columns)
-        added[name] = add(name, stamped(fresh, now), write)
+        added = add(name, stamped(fresh, now), write)
         # Later rows of a key are those that were not stored just now.
-        later = later_per_key(ok, added[name].select(*ok.columns), key).withColumn(REASONS, F.array(F.lit(DUPLICATE)))
+        later = later_per_key(ok, added.select(*ok.columns), key).withColumn(REASONS, F.array(F.lit(DUPLICATE)))
         add(f"rejects/{name}", rejected.unionByName(later))
-        rejects[name] = f"rejects/{name}"
+        return added
 
+    # The jobs of tables that do not wait for each other are submitted together.
+    with ThreadPoolExecutor(len(shaped)) as pool:
+        added = dict(zip(shaped, pool.map(inheritable_thread_target(spark)(load_table), shaped), strict=True))
+    rejects = {name: f"rejects/{name}" for name in shaped}
     loaded = read_star(spark, root, summaries=False, listed=Listing(before.version + 1, listed))
     daily, per_book = _summaries(loaded, added["fact_sales"] if appends else None)
-    for name, summary, key, part in (
-        ("fact_daily_sales_summary", daily, "date_id", DAILY_PART),
-        ("fact_book_performance", per_book, "book_id", BOOK_PART),
-    ):
-        listed[name] = merge_parts(spark, root, name, listed.get(name, []), summary, key, part, now)
+    stored_by_part = {
+        "fact_daily_sales_summary": (daily, "date_id", DAILY_PART),
+        "fact_book_performance": (per_book, "book_id", BOOK_PART),
+    }
+
+    def store_summary(name: str) -> list[str]:
+        summary, key, part = stored_by_part[name]
+        return merge_parts(spark, root, name, listed.get(name, []), summary, key, part, now)
+
+    with ThreadPoolExecutor(len(stored_by_part)) as pool:
+        listed |= dict(zip(stored_by_part, pool.map(inheritable_thread_target(spark)(store_summary), stored_by_part), strict=True))
     after = commit(spark, root, before, listed)
     return read_star(spark, root, listed=after), {name: read_table(spark, root, path, listed[path]) for name, path in rejects.items()}
 

@@ -85,14 +85,16 @@ def merge_parts(
     Only the parts that ``new`` touches are read and written anew, in a load of their own; the others keep their files.
     ``part`` is an SQL expression of the key and has few values: their list passes the driver.
     """
-    new = stored_once(new, f"new-{name}")
-    touched = {str(r["part"]) for r in new.select(F.expr(part).alias("part")).distinct().collect()}
-    old = [p for p in paths if p.rpartition("part=")[2] in touched]
+    load, old, touched = new_load(), [], set()
+    if paths:
+        new = stored_once(new, f"new-{name}")
+        touched = {str(r["part"]) for r in new.select(F.expr(part).alias("part")).distinct().collect()}
+        old = [p for p in paths if p.rpartition("part=")[2] in touched]
     merged = upsert(read_table(spark, root, name, old), new, key, now) if old else stamped(new, now)
-    load = new_load()
     placed = merged.withColumn("part", F.expr(part)).hint("rebalance", F.col("part"))
     placed.write.partitionBy("part").parquet(f"{root}/{name}/{load}")
-    return sorted({*paths} - {*old} | {f"{load}/part={p}" for p in touched})
+    written = {f"{load}/{p.rpartition('/')[2]}" for p in _files(spark, f"{root}/{name}/{load}/part=*")}
+    return sorted({*paths} - {*old} | written)
 
 
 def drop_unlisted(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
