@@ -22,67 +22,114 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm import simple8b
 from tallybook.llm.shipping import ship
-from tallybook.llm.words import _class, chunks, span_codes
+from tallybook.llm.words import _class, chunks, mixed, span_codes
 
 MAGIC, END = b"tokens-1", "s8b-end\n"
 FRAME_IDS = 1 << 19
 #: Pieces a worker remembers at most, before it starts anew.
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 700_000
+PIECES_A_CALL = 5_000
+#: Bytes of a chunk up to which its pieces are told apart by sums over the whole chunk.
+POWERS = 1 << 22
 _U = np.uint64
+_SPREAD = mixed(np.arange(1, 257, dtype=_U))
 _BLANKS, _MARKS = _class((0x20, 0x20), (0x09, 0x0D)), _class(*[(ord(c), ord(c)) for c in ".,;:!?"])
 _PLAIN = _class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
 _encoders: dict[int, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts by a byte-level tokenizer of the tokenizers library, with a memory of pieces."""
+    """Ids of texts by a byte-level tokenizer of the tokenizers library, with a memory of pieces.
+
+    The library gets all pieces that are new in one call, with a special string of its vocabulary between them: it cuts texts there
+    before anything else, so the ids between two of its ids are those of one piece.
+    """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
+        special = [t for t in json.loads(model).get("added_tokens", []) if t["special"]]
+        self.mark, self.mark_id = (special[0]["content"], special[0]["id"]) if special else (None, -1)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.sizes = [np.zeros(0, np.int64)], np.zeros(0, np.int64)
-        self.flat, self.starts = self.ids[0], np.zeros(0, np.int64)
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        for piece in pieces:
-            self.known[piece] = len(self.known)
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.int64)])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        for first in range(0, len(pieces), PIECES_A_CALL):
+            texts = [p.decode() for p in pieces[first : first + PIECES_A_CALL]]
+            if self.mark is None or any(self.mark in t for t in texts):
+                ids, sizes = self._ids(texts)
+            else:
+                every, _ = self._ids([self.mark.join(texts)])
+                marks = np.flatnonzero(every == self.mark_id)
+                ids = np.delete(every, marks)
+                sizes = np.diff(marks, prepend=-1, append=len(every)) - 1
+            self.flat = np.append(self.flat, ids)
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+            self.known.update(zip(pieces[first : first + PIECES_A_CALL], range(len(self.known), len(self.known) + len(texts)), strict=True))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in the bytes, and how many each text has."""
         starts = _cuts(raw, offsets)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
-        _, pick, back = np.unique(span_codes(raw, starts, ends), return_index=True, return_inverse=True)
+        back, first = _distinct(raw, starts, ends)
         data = raw.tobytes()
-        pieces = [data[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
+        pieces = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.known) > CACHE_PIECES:
             self._forget()
         new = [p for p in pieces if p not in self.known]
         if new:
             self._learn(new)
-        which = np.array([self.known[p] for p in pieces], np.int64)[back] if pieces else np.zeros(0, np.int64)
-        sizes = self.sizes[which]
+        which = np.array([self.known[p] for p in pieces], np.int64)[back] if pieces else back
+        sizes = self.starts[which + 1] - self.starts[which]
         running = np.append(0, np.cumsum(sizes))
         ids = self.flat[np.arange(running[-1]) + np.repeat(self.starts[which] - running[:-1], sizes)]
-        first = np.searchsorted(starts, offsets)
-        return ids, running[first[1:]] - running[first[:-1]]
+        bounds = np.searchsorted(starts, offsets)
+        return ids, running[bounds[1:]] - running[bounds[:-1]]
+
+
+def _distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each piece among the distinct ones, and one place of each. Pieces are compared by 64-bit codes."""
+    if len(raw) > POWERS:
+        codes = span_codes(raw, starts, ends)
+    else:
+        # Sums of the powers of an odd base over all bytes; a difference of two, brought back to power 0, tells a piece.
+        powers, inverse = _powers()
+        running = np.append(_U(0), np.cumsum(_SPREAD[raw] * powers[: len(raw)], dtype=_U))
+        codes = mixed((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(_U))
+    back, found = pd.factorize(codes)
+    first = np.empty(len(found), np.int64)
+    first[back[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return back.astype(np.int64), first
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd base modulo 2^64, and those of its inverse."""
+    tables = []
+    for base in (0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)):
+        cells = np.full(POWERS, base, _U)
+        cells[0] = 1
+        tables.append(np.multiply.accumulate(cells))
+    return tables[0], tables[1]
 
 
 def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
