@@ -6,9 +6,10 @@ collapsed into one group and only groups are posted under their prefix shingles.
 others are expanded to their members (distinct sets; exact copies are one), and members are verified on their whole sets.
 
 No list is ever turned into all its pairs. In every round each list has one hub, chosen anew by a seeded hash; of the hubs
-that a member meets and whose component it is not yet in, the nearest one by size and bitmap bounds is verified. What
+that a member meets and whose component it is not yet in, the nearest one by size, place and bitmap bounds is verified. What
 remains is made exact at the end: in lists which still span several components, the members outside the list's largest
-component meet all members of other components, again only past both bounds. Both bounds are safe: shingles that both sets
+component meet all members of other components, again only past the bounds, and long lists are dealt to several tasks. The place
+of the token in both sets bounds what they share from there on; it is kept wherever the token is their first common one. The others are safe too: shingles that both sets
 hold turn the same flags over, so every flag that differs needs a shingle that is in one of them only; and a member without a
 neighbour of fit size in a list leaves the list.
 
@@ -35,8 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallybook.llm.components import components
+from tallybook.llm.components import merged
 from tallybook.llm.frequent import most_frequent
+from tallybook.llm.observed import stored_and_counted
 from tallybook.llm.shipping import ship
 from tallybook.llm.words import chunks, mixed, shingle_sets, word_codes
 from tallybook.sources.scratch import stored_once
@@ -48,6 +50,8 @@ ROUNDS = 3
 #: Hubs that a group of equal lists may have in a round.
 HUBS = 4
 FLAG_WORDS = 32
+#: Members of a list that one task gets in the last join, about.
+LIST = 1000
 #: Keys of texts that are broadcast at most, 24 bytes each.
 KEYS = 2_000_000
 _PENDING = 3_000_000
@@ -182,9 +186,16 @@ def _near(percent: int, apart: Column, a: str, b: str) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(a) + F.col(b))
 
 
-def _verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough. ``keys`` has the text key of every member."""
-    few = pairs.count() <= KEYS
+def _first(percent: int, a: str, b: str) -> Column:
+    """Whether two sets can be similar if the token at their places ``a_p`` and ``b_p`` is the first that they share: what both have
+    from there on bounds what they share. Similar sets meet at their first common token at least."""
+    rest = F.least(F.col(f"{a}_n") - F.col(f"{a}_p"), F.col(f"{b}_n") - F.col(f"{b}_p"))
+    return (100 + percent) * rest >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+
+
+def _verified(pairs: DataFrame, n: int, keys: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``n`` pairs (a, b) whose whole sets are similar enough. ``keys`` has the text key of every member."""
+    few = n <= KEYS
 
     def sets(side: DataFrame, of: str) -> DataFrame:
         wanted = side.join(keys.select(F.col("e").alias(of), "text_key"), of).select("text_key", "a", "b")
@@ -204,13 +215,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     full = rows.where("n > 0")
     group = ["n", "g1", "g2"]
     # Only groups are posted; in a list, neighbours by size tell whether a group has any partner of fit size.
-    posted = full.groupBy(*group).agg(F.min("row").alias("g"), F.first("prefix").alias("prefix")).select("g", "n", F.explode("prefix").alias("token"))
+    posted = full.groupBy(*group).agg(F.min("row").alias("g"), F.first("prefix").alias("prefix")).select("g", "n", F.posexplode("prefix").alias("p", "token"))
     by_size = Window.partitionBy("token").orderBy("n", "g")
     shared = (
         posted.withColumn("smaller", F.lag("n").over(by_size))
         .withColumn("larger", F.lead("n").over(by_size))
         .where((100 * F.col("smaller") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("larger")))
-        .select("g", "token")
+        .select("g", "token", "p")
     )
     groups = full.groupBy(*group).agg(
         F.min("row").alias("g"), ((F.min("k1") < F.max("k1")) | (F.min("k2") < F.max("k2"))).alias("several")
@@ -222,43 +233,47 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         .select("k1", "k2", "n", "e", "text_key", "g", "several"),
         "join-members",
     )
-    lists = shared.join(members.select("g", "e", "n"), "g").select("token", "e", "n")
-    inner = members.where("several").select(F.xxhash64(F.lit("group"), "g").alias("token"), "e", "n")
+    lists = shared.join(members.select("g", "e", "n"), "g").select("token", "e", "n", "p")
+    inner = members.where("several").select(F.xxhash64(F.lit("group"), "g").alias("token"), "e", "n", F.lit(0).alias("p"))
     lists = stored_once(lists.union(inner), "join-lists")
     texts = docs.select(text_key(key, text).alias("text_key"), F.col(text).cast("string").alias("text"))
     keys, flags = members.select("e", "text_key"), rows.select(F.col("row").alias("e"), "flags")
     side = lambda x: flags.select(F.col("e").alias(x), F.col("flags").alias(f"{x}_flags"))
 
-    links: DataFrame | None = None
     roots: DataFrame | None = None
     for turn in range(rounds + 1):
         now = lists.withColumn("c", F.col("e"))
         if roots is not None:
-            now = lists.join(roots, lists["e"] == roots["node"], "left").select("token", "e", "n", F.coalesce("root", "e").alias("c"))
+            now = lists.join(roots, lists["e"] == roots["node"], "left").select("token", "e", "n", "p", F.coalesce("root", "e").alias("c"))
             spread = now.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-            now = stored_once(now.join(spread, "token", "left_semi"), "join-open")
-            if now.isEmpty():
+            now, (left, _) = stored_and_counted(now.join(spread, "token", "left_semi"), "join-open")
+            if not left:
                 break
-        every = now.select("token", F.col("e").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
+        side_a = [F.col(c).alias(f"a{c_}") for c, c_ in (("e", ""), ("n", "_n"), ("p", "_p"), ("c", "_c"))]
+        every = now.select("token", *side_a)
         if turn < rounds:
-            hub = F.min_by(F.struct("e", "n", "c"), F.xxhash64("e", F.pmod("token", F.lit(HUBS)), F.lit(turn))).alias("h")
-            some = now.groupBy("token").agg(hub).select("token", F.col("h.e").alias("b"), F.col("h.n").alias("b_n"), F.col("h.c").alias("b_c"))
-            met = every.join(some, "token").where((F.col("a_c") != F.col("b_c")) & _fit(percent, "a_n", "b_n"))
+            hub = F.min_by(F.struct("e", "n", "p", "c"), F.xxhash64("e", F.pmod("token", F.lit(HUBS)), F.lit(turn))).alias("h")
+            some = now.groupBy("token").agg(hub)
+            some = some.select("token", F.col("h.e").alias("b"), F.col("h.n").alias("b_n"), F.col("h.p").alias("b_p"), F.col("h.c").alias("b_c"))
+            met = every.join(some, "token").where((F.col("a_c") != F.col("b_c")) & _fit(percent, "a_n", "b_n") & _first(percent, "a", "b"))
             met = met.select("a", "a_n", "b", "b_n").distinct().join(side("a"), "a").join(side("b"), "b")
             met = met.withColumn("apart", _apart("a_flags", "b_flags")).where(_near(percent, F.col("apart"), "a_n", "b_n"))
             pairs = met.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
         else:
-            # The rest: members outside the largest component of their list. The bounds are part of the join.
-            most = now.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("largest"))
-            every = every.join(side("a"), "a")
-            some = every.join(most, "token").where("a_c <> largest").drop("largest")
-            x, y = every.alias("x"), some.select("token", *[F.col(c).alias(f"b{c[1:]}") for c in ("a", "a_n", "a_c", "a_flags")]).alias("y")
-            bounds = (F.col("a_c") != F.col("b_c")) & _fit(percent, "a_n", "b_n") & _near(percent, _apart("a_flags", "b_flags"), "a_n", "b_n")
-            met = x.join(y, (F.col("x.token") == F.col("y.token")) & bounds)
+            # The rest: members outside the largest component of their list. The bounds are part of the join, and the members of a
+            # long list are dealt to several tasks, each of which gets all of those outside.
+            most = now.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token")
+            most = most.agg(F.max_by("c", F.struct("k", "c")).alias("largest"), (1 + F.expr(f"sum(k) DIV {LIST}")).cast("int").alias("deals"))
+            every = every.join(side("a"), "a").join(most, "token")
+            x = every.withColumn("deal", F.pmod(F.hash("a"), F.col("deals"))).alias("x")
+            some = every.where("a_c <> largest").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+            y = some.select("token", "deal", *[F.col(c).alias(f"b{c[1:]}") for c in ("a", "a_n", "a_p", "a_c", "a_flags")]).alias("y")
+            bounds = (F.col("a_c") != F.col("b_c")) & _fit(percent, "a_n", "b_n") & _first(percent, "a", "b")
+            bounds = bounds & _near(percent, _apart("a_flags", "b_flags"), "a_n", "b_n")
+            met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.deal") == F.col("y.deal")) & bounds)
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = stored_once(_verified(stored_once(pairs.select("a", "b"), "join-pairs"), keys, texts, size, percent), "join-links")
-        links = new if links is None else links.union(new)
-        roots = components(links)
+        pairs, (n, _) = stored_and_counted(pairs.select("a", "b"), "join-pairs")
+        roots = merged(roots, _verified(pairs, n, keys, texts, size, percent)) if n or roots is None else roots
 
     assert roots is not None
     own = members.select("k1", "k2", "n", "e")
