@@ -376,14 +376,14 @@ WHERE user_id NOT IN (SELECT id FROM clean_users)""")
 
 
 def c16_email(star):
-    """Users of one city have a malformed address."""
-    email = F.when(F.col("city") == "CHINA", F.regexp_replace("email", "@", " at ")).otherwise(F.col("email"))
+    """Users of the cities whose name ends in a one have a malformed address."""
+    email = F.when(F.col("city").endswith("1"), F.regexp_replace("email", "@", " at ")).otherwise(F.col("email"))
     broken = quality.check_rules(star.users.select("user_id", email.alias("email")), {"email": rules.valid_email(F.col("email"))})
     return broken.select("user_id", F.explode("reject_reasons").alias("reason"))
 
 
 ev("c16_check_rules", c16_email,
-   "SELECT user_id, 'email' AS reason FROM users WHERE city = 'CHINA'")
+   "SELECT user_id, 'email' AS reason FROM users WHERE city LIKE '%1'")
 ev("c16_check_rules_year",
    lambda s: quality.check_rules(
        s.books.select("book_id", "publication_year"),
@@ -464,7 +464,7 @@ _LOADED = f", sales AS ({o.FACT})"
 raw("d10_load_all", d10(summaries.DAILY), f"{_LOADED}, {o.M01.strip()} SELECT * FROM daily")
 raw("d10_load_append_daily", lambda r: d10_append(r)[0].daily.drop("created_at", "updated_at"), f"{_LOADED}, {o.M01.strip()} SELECT * FROM daily")
 raw("d10_load_append_books", lambda r: d10_append(r)[0].book_performance.drop("created_at", "updated_at"),
-    f"{_LOADED}, {o.M02.strip()} SELECT * FROM performance")
+    f"{_LOADED}, dates AS (SELECT DISTINCT date_id, CAST(transaction_timestamp AS DATE) AS full_date FROM sales), {o.M02.strip()} SELECT * FROM performance")
 raw("d10_load_all_users", d10("dim_users"), o.DIM_USERS)
 raw("d10_load_all_books", d10("dim_books"), f"SELECT * FROM ({o.DIM_BOOKS}) WHERE publication_year IS NOT NULL")
 raw("d10_load_all_sales", d10("fact_sales"), o.FACT)

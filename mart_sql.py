@@ -181,10 +181,11 @@ GROUP BY year, month, month_name"""
 SPEND_BANDS = ((1000, "High Value"), (500, "Medium Value"), (100, "Low Value"))
 LINES_BANDS = ((2000000, "High Value"), (1500000, "Medium Value"), (500000, "Low Value"))
 
+# Spend and purchases come from the sales alone; a user who is not in the dimension does not count.
 PER_USER = """
 per_user AS (
-  SELECT u.user_id, SUM(f.amount) AS total_spent, COUNT(f.transaction_id) AS total_purchases
-  FROM users u JOIN sales f ON u.user_id = f.user_id GROUP BY u.user_id)"""
+  SELECT user_id, SUM(amount) AS total_spent, COUNT(transaction_id) AS total_purchases
+  FROM sales WHERE user_id IN (SELECT user_id FROM users) GROUP BY user_id)"""
 
 
 def segments(bands) -> str:
