@@ -11,7 +11,7 @@ from tallybook.functions.dates import calendar_days_between
 from tallybook.functions.labels import SPEND_BANDS, SPEND_OTHERWISE, spend_segment
 from tallybook.functions.money import ratio, total
 from tallybook.operators.facts import sales_between
-from tallybook.operators.paging import page
+from tallybook.operators.paging import Cursor, page, page_after
 from tallybook.star import Star
 
 # Months in each retention period.
@@ -152,6 +152,11 @@ def users_page(star: Star, limit: int = 100, offset: int = 0, ascending: bool =
     return page(_user_columns(star), "user_id", limit=limit, offset=offset, ascending=ascending)
 
 
+def users_after(star: Star, after: Cursor | None = None, limit: int = 100, ascending: bool = True) -> DataFrame:
+    """The page of users by id that follows a cursor."""
+    return page_after(_user_columns(star), "user_id", after=after, limit=limit, ascending=ascending)
+
+
 def user_by_id(star: Star, user_id: int) -> DataFrame:
     """One user, or no row. The key filter reaches the scan."""
     return _user_columns(star).filter(F.col("user_id") == user_id)
