@@ -18,6 +18,7 @@ from tallybook.operators.quality import REASONS, not_null_rules, reject_counts,
 from tallybook.plans.summaries import book_performance, daily_sales_summary
 from tallybook.schemas import NOT_NULL, TEXT_WIDTHS
 from tallybook.sources.feeds import path_exists
+from tallybook.sources.keyfilter import add_filters, filters_of, stored_keys
 from tallybook.sources.manifest import Listing, commit, listing, merge_parts, new_load, read_table
 from tallybook.sources.scratch import stored_once
 from tallybook.sources.tables import read_star, write_dimension, write_fact
@@ -129,7 +130,8 @@ def load_all(
     Each cleaned feed is stored once and its rows are then told apart. All tables go to folders of this load, and the
     last step lists them (``sources.manifest``): until then readers see the load before, and a load that died can be run
     again as if it had never been. An append computes anew the summary rows of the days and books it touches, and rewrites the parts
-    of the summaries that hold them.
+    of the summaries that hold them. Which new sales are stored already it learns from key filters (``sources.keyfilter``), which it makes
+    for loads that have none yet: the stored fact is not shuffled, and of its files only those that may hold a new key are read.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode must be 'overwrite' or 'append', got {mode!r}")
@@ -156,12 +158,21 @@ def load_all(
         "fact_sales": (fact_sales(feeds["transactions"]), stored and stored.sales, write_fact),
     }
 
+    def known_keys(name: str, new: DataFrame, key: str, target: DataFrame) -> DataFrame:
+        """Keys that new rows may not have: of the fact those the key filters find, of a dimension all of them."""
+        if name != "fact_sales":
+            return target.select(key)
+        loads, filters = before.tables.get(name, []), filters_of(name)
+        listed[filters] = add_filters(spark, root, name, loads, before.tables.get(filters, []), key, target.schema)
+        return stored_keys(spark, root, name, loads, new, key, target.schema)
+
     def load_table(name: str) -> DataFrame:
         df, target, write = shaped[name]
         ok, rejected = _storable(df, name)
         key, *order = FIRST_ROW[name]
         firsts = insert_ignore(ok, key, *order)
-        fresh = firsts if target is None else firsts.join(target.select(key), key, "left_anti").select(*firsts.columns)
+        held = None if target is None else known_keys(name, ok, key, target)
+        fresh = firsts if held is None else firsts.join(held, key, "left_anti").select(*firsts.columns)
         added = add(name, stamped(fresh, now), write)
         # Later rows of a key are those that were not stored just now.
         later = later_per_key(ok, added.select(*ok.columns), key).withColumn(REASONS, F.array(F.lit(DUPLICATE)))

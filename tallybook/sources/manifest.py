@@ -112,7 +112,7 @@ def drop_unlisted(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     folder = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     files = folder(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     removed = []
-    for path in _files(spark, f"{root}/*/load=*") + _files(spark, f"{root}/rejects/*/load=*"):
+    for path in _files(spark, f"{root}/*/load=*") + [p for group in ("rejects", "keys") for p in _files(spark, f"{root}/{group}/*/load=*")]:
         name = path[path.index(root.split("://")[-1]) + len(root.split("://")[-1]) + 1 :]
         inside = [u for u in used if u == name or u.startswith(f"{name}/")]
         # Of a folder in parts, single parts may be superseded.
