@@ -27,9 +27,9 @@ from tallybook.functions import labels, rules
 from tallybook.functions.dates import date_id
 from tallybook.operators import cleaning, dimensions, facts, merging, paging, quality
 from tallybook.pipeline import DAILY_PART, clean_feeds, load_all, load_counts
-from tallybook.plans import books, catalog, customers, dashboard, insights, overview, sales, summaries, views
+from tallybook.plans import books, catalog, customers, dashboard, distinct_state, insights, overview, sales, summaries, views
 from tallybook.schemas import LOAD_SCHEMAS, TEXT_WIDTHS
-from tallybook.sources import feeds, manifest, tables
+from tallybook.sources import feeds, keyfilter, manifest, tables
 from tallybook.sources.scratch import new_folder, stored_once
 from tallybook.star import Star
 
@@ -196,6 +196,22 @@ def s05(star):
 li("s05_insert_ignore", s05, o.FIRST_LINES)
 
 
+def s05_filters(star):
+    """The same by key filters: the earlier lines stored by day with a filter per file, of which only files that may hold
+    an id of the later lines are read."""
+    spark, root, load = star.sales.sparkSession, new_folder(star.sales.sparkSession, "keyed"), "load=first"
+    early = merging.insert_ignore(star.sales.filter(F.col("date_id") < date_id(F.lit(LINES_FROM))), "transaction_id", *FIRST_ORDER)
+    tables.write_fact(early, f"{root}/fact_sales/{load}", by_day=False)
+    target = manifest.read_table(spark, root, "fact_sales", [load], early.schema)
+    late = merging.insert_ignore(facts.sales_between(star.sales, start=LINES_FROM), "transaction_id", *FIRST_ORDER)
+    keyfilter.add_filters(spark, root, "fact_sales", [load], [], "transaction_id", early.schema)
+    held = keyfilter.stored_keys(spark, root, "fact_sales", [load], late, "transaction_id", early.schema)
+    return target.unionByName(late.join(held, "transaction_id", "left_anti").select(*target.columns))
+
+
+li("s05_insert_by_key_filters", s05_filters, o.FIRST_LINES)
+
+
 def s06(raw_feeds):
     """Accepted rows and rejected rows per reason."""
     checked = cleaning.clean_books(raw_feeds["books"])
@@ -402,6 +418,22 @@ li("c17_page", lambda s: paging.page(s.sales, "transaction_timestamp", "transact
                                      "amount", "quantity", limit=500, offset=250),
    """SELECT * FROM sales
 ORDER BY transaction_timestamp, transaction_id, book_id, user_id, amount, quantity LIMIT 500 OFFSET 250""")
+
+
+def walked(df, order, pages, limit, ascending=True):
+    """The last of so many pages, each found from the end of the one before."""
+    cursor = None
+    for _ in range(pages - 1):
+        found = paging.page_after(df, *order, after=cursor, limit=limit, ascending=ascending)
+        cursor = paging.end_of(found, *order, before=cursor, ascending=ascending)
+    return paging.page_after(df, *order, after=cursor, limit=limit, ascending=ascending)
+
+
+PAGE_ORDER = ("transaction_timestamp", "transaction_id", "book_id", "user_id", "amount", "quantity")
+li("c17_page_after", lambda s: walked(s.sales, ("date_id", *PAGE_ORDER), 3, 500),
+   f"""SELECT * FROM sales ORDER BY date_id, {', '.join(PAGE_ORDER)} LIMIT 500 OFFSET 1000""")
+li("c17_page_after_descending", lambda s: walked(s.sales, ("date_id", *PAGE_ORDER), 3, 500, ascending=False),
+   f"""SELECT * FROM sales ORDER BY date_id DESC, {', '.join(f'{c} DESC' for c in PAGE_ORDER)} LIMIT 500 OFFSET 1000""")
 ev("c18_date_range",
    lambda s: facts.date_range(s.sales.withColumn("full_date", F.col("transaction_timestamp").cast("date")),
                               FROM, TO).drop("full_date"),
@@ -524,6 +556,8 @@ plain("q10d_data_status_missing", q10d_missing, o.on_events(f"""{o.STATUS} {_TOD
     "SELECT 'table_counts' AS probe, 'error' AS item, 'PATH_NOT_FOUND' AS value"))
 ev("q11_users_page", lambda s: customers.users_page(s, limit=200, offset=25),
    f"SELECT {o.USER_COLUMNS} FROM users ORDER BY user_id LIMIT 200 OFFSET 25")
+ev("q11_users_after", lambda s: customers.users_after(s, paging.Cursor((USER,)), 200),
+   f"SELECT {o.USER_COLUMNS} FROM users WHERE user_id > {USER} ORDER BY user_id LIMIT 200")
 ev("q12_user_by_id", lambda s: customers.user_by_id(s, USER),
    f"SELECT {o.USER_COLUMNS} FROM users WHERE user_id = {USER}")
 ev("q13_user_transactions", lambda s: customers.user_transactions(s, USER), f"""
@@ -532,6 +566,8 @@ SELECT transaction_id, amount, transaction_timestamp, title AS book_title, categ
 ORDER BY transaction_timestamp DESC, transaction_id LIMIT 100""")
 ev("q14_books_page", lambda s: catalog.books_page(s, limit=200, offset=25),
    f"SELECT {o.BOOK_COLUMNS} FROM books ORDER BY book_id LIMIT 200 OFFSET 25")
+ev("q14_books_after", lambda s: catalog.books_after(s, paging.Cursor((BOOK,)), 200, ascending=False),
+   f"SELECT {o.BOOK_COLUMNS} FROM books WHERE book_id < {BOOK} ORDER BY book_id DESC LIMIT 200")
 ev("q15_book_by_id", lambda s: catalog.book_by_id(s, BOOK),
    f"SELECT {o.BOOK_COLUMNS} FROM books WHERE book_id = {BOOK}")
 ev("q16_books_by_category", lambda s: summaries.books_by_category(s, CATEGORY), f"""
@@ -653,6 +689,32 @@ ev("m03_refresh_summaries", m03(summaries.BOOKS), f", {o.M02.strip()} SELECT * F
 ev("m03_refresh_summaries_daily", m03(summaries.DAILY), f", {o.M01.strip()} SELECT * FROM daily")
 ev("m04_monthly_sales_summary", summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
 li("m04_monthly_sales_summary_lines", summaries.monthly_sales_summary, o.MONTHLY_SUMMARY)
+
+
+def m04_from_state(star):
+    """Months from what two loads stored: daily summaries of disjoint days and bitmaps of overlapping ones."""
+    early, late = facts.sales_between(star.sales, end=LINES_TO), facts.sales_between(star.sales, start=LINES_FROM)
+    states = [stored_once(distinct_state.distinct_state(part, "user_id", "book_id"), "state") for part in (early, late)]
+    daily = stored_once(summaries.daily_sales_summary(star.sales), summaries.DAILY)
+    return distinct_state.monthly_from_state(star, daily, distinct_state.merged_state(*states))
+
+
+def m01_unique_by(grain):
+    def counted(star):
+        state = stored_once(distinct_state.distinct_state(star.sales, "user_id", "book_id"), "state")
+        return distinct_state.distinct_by(state, star.dates, grain, {"user_id": "unique_users", "book_id": "unique_books"})
+
+    return counted
+
+
+li("m04_monthly_from_state_lines", m04_from_state, o.MONTHLY_SUMMARY)
+li("m01_unique_by_quarter_lines", m01_unique_by(["year", "quarter"]), """
+SELECT d.year, d.quarter, COUNT(DISTINCT user_id) AS unique_users, COUNT(DISTINCT book_id) AS unique_books
+FROM sales JOIN dates d USING (date_id) GROUP BY ALL""")
+ev("m01_unique_by_day", m01_unique_by(["date_id"]), """
+SELECT date_id, COUNT(DISTINCT user_id) AS unique_users, COUNT(DISTINCT book_id) AS unique_books FROM sales GROUP BY date_id""")
+li("m01_unique_ever_lines", m01_unique_by([]), """
+SELECT COUNT(DISTINCT user_id) AS unique_users, COUNT(DISTINCT book_id) AS unique_books FROM sales""")
 ev("m05_category_performance", summaries.category_summary, o.CATEGORY_SUMMARY)
 
 
