@@ -2,71 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SLICES = 64
+from tallybook.sources.scratch import stored_once
 
-
-def split_points(df: DataFrame, measures: Sequence[str], slices: int = DEFAULT_SLICES) -> list[list[float]]:
-    """For each measure at most ``slices - 1`` values that cut it into ranges of similar size.
-
-    They only balance the work: any list of points gives the same ranks, also after the data changed.
-    """
-    shares = [i / slices for i in range(1, slices)]
-    doubles = df.select(*[F.col(m).cast("double").alias(m) for m in measures])
-    return [sorted(set(points)) for points in doubles.approxQuantile(list(measures), shares, 0.005)]
-
-
-def _slice_of(value: Column, points: list[float]) -> Column:
-    """How many split points lie above the value: 0 for the slice with the highest values."""
-    above = [(value.cast("double") < F.lit(p)).cast("int") for p in points]
-    return F.when(value.isNull(), F.lit(-1)).otherwise(reduce(add, above, F.lit(0)))
-
-
-def _ranks(df: DataFrame, measure: str, name: str, points: list[float]) -> DataFrame:
+def _ranks(df: DataFrame, measure: str, name: str, slices: int | None) -> DataFrame:
     """One row ``(_value, rank)`` per distinct value of the measure."""
     counts = df.groupBy(F.col(measure).alias("_value")).agg(F.count("*").alias("_rows"))
-    sliced = counts.withColumn("_slice", _slice_of(F.col("_value"), points))
-    inside = (
-        Window.partitionBy("_slice")
-        .orderBy(F.col("_value").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    high = F.col("_value").desc_nulls_first()
+    ranges = counts.repartitionByRange(high) if slices is None else counts.repartitionByRange(slices, high)
+    dealt = stored_once(ranges.withColumn("_slice", F.spark_partition_id()), "ranks")
+    inside = Window.partitionBy("_slice").orderBy(high).rowsBetween(Window.unboundedPreceding, -1)
     higher = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy("_slice")
+        dealt.groupBy("_slice")
         .agg(F.sum("_rows").alias("_slice_rows"))
         .select("_slice", F.coalesce(F.sum("_slice_rows").over(higher), F.lit(0)).alias("_offset"))
     )
     return (
-        sliced.withColumn("_before", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
+        dealt.withColumn("_before", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
         .join(offsets, "_slice")
         .select("_value", (F.col("_offset") + F.col("_before") + 1).cast("bigint").alias(name))
     )
 
 
-def global_ranks(df: DataFrame, names: Mapping[str, str], slices: int = DEFAULT_SLICES) -> DataFrame:
+def global_ranks(df: DataFrame, names: Mapping[str, str], slices: int | None = None) -> DataFrame:
     """Add ``rank() over (order by measure desc)`` under the given name for each measure.
 
     Ties share a rank and NULL ranks first, the warehouse default for a descending order. Per measure:
 
     1. count the rows of each distinct value (combined before the shuffle, so ties cost nothing);
-    2. cut the values into ranges at fixed split points and keep a running count inside each range;
-    3. add the number of rows in all higher ranges: one row per range, at most ``slices + 1`` of them;
+    2. deal the values to ranges by one range exchange and write them: by default as many as the session shuffles to,
+       which adaptive execution fits to their size;
+    3. keep a running count inside each range and add the rows of all higher ranges, one row per range;
     4. join the ranks back by value; a frequent value is one row on the rank side, and adaptive
        execution splits it on the table side.
 
+    The ranges are written because their borders come from a sample: read twice, they must be the same ranges.
     ``df`` is read once for itself and once per measure, so it should be a stored table.
     """
-    points = split_points(df, list(names), slices)
     ranked = df
-    for (measure, name), cuts in zip(names.items(), points):
-        ranks = _ranks(df, measure, name, cuts)
+    for measure, name in names.items():
+        ranks = _ranks(df, measure, name, slices)
         ranked = ranked.join(ranks, ranked[measure].eqNullSafe(ranks["_value"])).drop("_value")
     return ranked
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.money import ratio, total
 from tallybook.operators.facts import date_range, sales_between
 from tallybook.operators.paging import page
-from tallybook.operators.ranking import DEFAULT_SLICES, global_ranks
+from tallybook.operators.ranking import global_ranks
 from tallybook.plans.summaries import book_performance_of
 from tallybook.star import Star
 
@@ -62,7 +62,7 @@ def v_sales_with_dimensions(star: Star) -> DataFrame:
     )
 
 
-def v_top_books(star: Star, slices: int = DEFAULT_SLICES) -> DataFrame:
+def v_top_books(star: Star, slices: int | None = None) -> DataFrame:
     """Every sold book with its rank by revenue and by number of sales; ties share a rank.
 
     Meant to run on the stored book summary: the ranks read it more than once.
