@@ -61,17 +61,13 @@ f AS (
         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
     FROM w WINDOW o AS (ORDER BY lim / weight, source NULLS LAST)),
 t AS (SELECT source, source_size, least(lim, weight * max((total - filled) / open) OVER ()) AS target FROM f),
-u AS (SELECT source, unit, max(size) * count(*) AS words FROM z GROUP BY source, unit),
-k AS (SELECT source, unit, row_number() OVER (PARTITION BY source ORDER BY words DESC, unit) - 1 AS rank FROM u),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, unit) - 1 AS rank FROM z),
 r AS (
     SELECT t.*, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-        ('0x' || substr(md5('17:' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296 AS shift FROM t),
-c AS (
-    SELECT k.source, k.unit, r.source_size, r.target, floor(rate) + floor((rank + 1) * (rate - floor(rate)) + shift)
-        - floor(rank * (rate - floor(rate)) + shift) AS copies
-    FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
-SELECT z.doc_id, z.size, c.source_size, c.target, (z.size * c.copies)::BIGINT AS taken
-FROM z JOIN c ON z.source IS NOT DISTINCT FROM c.source AND z.unit = c.unit
+        ('0x' || substr(md5('17:' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296 AS shift FROM t)
+SELECT k.doc_id, k.size, r.source_size, r.target, (k.size * (floor(rate) + floor((rank + 1) * (rate - floor(rate)) + shift)
+    - floor(rank * (rate - floor(rate)) + shift)))::BIGINT AS taken
+FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source
 """
 
 _CLEAN = r"chr(10)"

@@ -292,6 +292,20 @@ def test_exchange_finds_alternating_classes():
     assert own[0] == 0 and len(set(own[1:5])) == len(set(own[5:9])) == 1 and own[1] != own[5]
 
 
+def test_repeated_rows_are_mixed_one_by_one(spark):
+    same = [(7, "ten words in a text that stands here many times", "b", i % 2) for i in range(300)]
+    other = [(100 + i, "some words " * (1 + i % 40), "b", 0) for i in range(400)] + [(1000 + i, "x y z", "a", 0) for i in range(50)]
+    docs = spark.createDataFrame(same + other, "doc_id long, text string, source string, n int").repartition(7)
+    plan = mixing.mixing_plan(docs).collect()
+    mixed = mixing.mix(docs).collect()
+    for source in "ab":
+        own = [r for r in plan if r["source"] == source]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+        assert sum(r["size"] * r["copies"] for r in own) == sum(len(r["text"].split()) for r in mixed if r["source"] == source)
+    assert sorted(r["nth"] for r in plan if r["doc_id"] == 7) == list(range(300))
+    assert sorted(mixed) == sorted(mixing.mix(docs.repartition(3)).collect())
+
+
 def test_url_rules(spark):
     rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "bad.com/")]
     urls = [
