@@ -313,7 +313,7 @@ def test_url_rules(spark):
         "http://m.bad.com/de/1", "http://new.com/de/2", "http://Ä.com:80/p?a=b&c", "x://y.org/z://k",
     ]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    rows = {r["page_id"]: r for r in url_rules.judged(pages, rules, min_support=0.1, min_confidence=0.5).collect()}
+    rows = {r["page_id"]: r for r in url_rules.judged(pages, rules, min_count=1, min_confidence=0.5, z=0).collect()}
     assert [(rows[i]["host"], rows[i]["path"]) for i in range(4)] == [("", "")] * 4
     assert (rows[4]["host"], rows[4]["path"], rows[4]["rule"], rows[4]["verdict"]) == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert rows[5]["rule"] is None and rows[6]["rule"] == "org/" and rows[7]["verdict"] == "block"
@@ -327,7 +327,7 @@ def test_mined_rules_against_all_subsets(spark):
 
     rng = random.Random(2)
     rows = [(sorted(rng.sample(["a", "b", "c", "d", "e"], rng.randint(1, 4))), rng.choice(["allow", "block"])) for _ in range(60)]
-    found = url_rules.mined_rules(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.1, 0.5).collect()
+    found = url_rules.mined_rules(spark.createDataFrame(rows, "tokens array<string>, label string"), 6, 0.5, z=0).collect()
     plain = {}
     for size in range(1, 5):
         for some in combinations("abcde", size):
@@ -336,3 +336,59 @@ def test_mined_rules_against_all_subsets(spark):
                 if held and held.count(label) >= 6 and held.count(label) / len(held) >= 0.5:
                     plain[(some, label)] = held.count(label) / len(held)
     assert {(tuple(r["antecedent"]), r["label"]): pytest.approx(r["confidence"]) for r in found} == plain
+
+
+def test_verdicts_of_mined_rules_against_all_subsets(spark):
+    """Merged items decide as all rules on all subsets of tokens would, also for URLs that have only some of the merged tokens."""
+    from itertools import combinations
+    from math import sqrt
+
+    rng = random.Random(5)
+    pages = []
+    for i in range(260):
+        host = rng.choice(["a.good.com", "b.bad.com", "b.mixed.com", "c.new.net", "c.other.net"])
+        path = rng.choice(["/x/1", "/x/2/y", "/77/z", "/"])
+        query = rng.choice(["", "?p=1&q=2&r=3", "?p=1&q=2&r=3&s=4"] if "com" in host else ["", "?p=1", "?q=2&s=4", "?r=1&t=1"])
+        pages.append((i, f"http://{host}{path}{query}"))
+    listed = [("allow", "good.com/"), ("block", "bad.com/"), ("block", "mixed.com/x/"), ("allow", "mixed.com/")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    found = {r["page_id"]: r for r in url_rules.judged(df, listed, min_count=12, min_confidence=0.55, z=1.0).collect()}
+
+    def tokens_of(url):
+        host, _, rest = url.partition("://")[2].partition("/")
+        path, _, query = rest.partition("?")
+        names = {f"query:{x.split('=')[0]}" for x in query.split("&") if x}
+        return {f"host:{x}" for x in host.split(".")} | {f"path:{x}" for x in path.split("/") if x} | names
+
+    labelled = [(tokens_of(u), found[i]["verdict"]) for i, u in pages if found[i]["rule"]]
+    counts: dict = {}
+    for held, label in labelled:
+        for size in range(1, len(held) + 1):
+            for some in combinations(sorted(held), size):
+                counts.setdefault(some, []).append(label)
+    rules = []
+    for some, labels in counts.items():
+        for label in ("allow", "block"):
+            k, n = labels.count(label), len(labels)
+            p = k / n
+            low = (p + 1 / (2 * n) - sqrt(p * (1 - p) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+            if k >= 12 and low >= 0.55:
+                rules.append((round(low, 12), k, label, set(some)))
+    decided = 0
+    for i, url in pages:
+        if found[i]["rule"] is None:
+            fits = [r[:3] for r in rules if r[3] <= tokens_of(url)]
+            assert found[i]["verdict"] == (max(fits)[2] if fits else "allow")
+            assert (found[i]["mined_rule"] is None) == (not fits)
+            decided += bool(fits)
+    assert decided > 20
+
+
+def test_parameters_that_always_come_together_are_one_item(spark):
+    query = "&".join(f"name{i}=1" for i in range(25))
+    urls = [(i, f"http://h{i % 3}.example.com/{'de' if i % 2 else 'fr'}/{i}?{query}") for i in range(600)]
+    urls += [(1000, "http://else.net/a?name7=1"), (1001, "http://else.net/de")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    rows = {r["page_id"]: r for r in url_rules.judged(pages, [("allow", "example.com/fr/"), ("block", "example.com/de/")]).collect()}
+    assert rows[1001]["verdict"] == "block" and rows[1001]["mined_rule"] == "path:de"
+    assert rows[1000]["verdict"] == "allow" and rows[1000]["mined_rule"] is None
