@@ -1,21 +1,32 @@
 """Language-model scores from a class-based bigram model whose classes come from exchange clustering.
 
-P(w_i | w_{i-1}) = P(class(w_i) | class(w_{i-1})) * P(w_i | class(w_i)). The items that are clustered are the ``ITEMS`` most
-frequent words, ``FORMS`` forms (a hash of a word's last two bytes) which stand for all other words, and the end of a text. Every
-item is moved to the class that raises the likelihood of the class bigrams most, until a pass moves none. Emissions use the
+P(w_i | w_{i-1}) = P(class(w_i) | context(w_{i-1})) * P(w_i | class(w_i)). Every word that occurs ``MIN_COUNT`` times is clustered
+by itself; all rarer words, and unknown ones, are clustered by their form (one of ``FORMS`` hashes of the last two bytes). The
+end of a text has a class of its own.
+
+Clustering. A seed clusters the ``ITEMS`` most frequent words and the forms one by one. Then Spark counts how often each word
+follows each context class, one row per word, and rounds of exchange run over these rows: the table of classes, of fixed size,
+is broadcast, every word of the part whose turn it is moves to the class that raises the likelihood most, and the table is
+summed anew. At first half of the words have their turn; a round after which the likelihood is lower, because many words went
+the same way at once, is undone and the part halved. Rounds end when all parts together gain less than ``LEAST_GAIN`` a token.
+The contexts are then counted again with the new classes and the exchange goes on from there, ``SWEEPS`` times in all, unless the likelihood is then lower than before.
+
+A context is the class of the word before, for the ``FREQUENT`` most frequent words (a broadcast of bounded size), and the class
+of its form for others; it decides only how sharply a word is foretold. Which words are clustered, and how words are foretold,
+has no such bound: classes of words are a stored table as long as the vocabulary, joined like the counts. Emissions use the
 count of the very word, known or not, with half a count added, so a class shares its mass with one unknown word.
 
-Counts grow with the corpus and are never gathered: the ``FREQUENT`` most frequent words are broadcast, all other words of
-a document are joined with the table of counts. Both base and class score need the same logarithm of a word's count,
-so one join serves both. What reaches the driver is bounded: the frequent words and the pairs of items.
+What reaches the driver is bounded: the frequent words, the pairs of seed items and the tables of classes.
 
 Words are known by 64-bit codes. Defined cases: a null text is empty and is scored as one end; without training
-documents all counts are 0; rows that repeat are scored alike and each is counted in training; an empty table gives no rows.
+documents all counts are 0; rows that repeat are scored alike and each is counted in training; ties go to the lower class;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +35,20 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.frequent import most_frequent
 from tallybook.llm.shipping import ship
-from tallybook.llm.words import _LOWER, NOT_SPACE, chunks, span_codes, spans
+from tallybook.llm.words import _LOWER, NOT_SPACE, chunks, mixed, span_codes, spans
 from tallybook.sources.scratch import stored_once
 
 FREQUENT = 1 << 17
 ITEMS = 768
 FORMS = 128
-CLASSES = 40
+CLASSES = 64
 PASSES = 8
+MIN_COUNT = 5
+SWEEPS = 2
+#: Rounds of one sweep at most; it ends by the likelihood long before.
+ROUNDS = 40
+MOST_PARTS = 16
+LEAST_GAIN = 1e-3
 _U = np.uint64
 #: The code of the end of a text.
 END = -1
@@ -184,69 +201,303 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     return own
 
 
-def scored(docs: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with n_tokens, n_known, train_tokens, base_score and score instead of their text."""
-    spark = docs.sparkSession
-    ship(spark)
+class Classes:
+    """The classes of all words as tasks see them: those of frequent words, with their counts, and those of the forms."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, own: np.ndarray, forms: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.n, self.own, self.forms = words[order], n[order], own[order], forms
+
+    def of(self, codes: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and count of every token; the count is -1 where the word is not a frequent one."""
+        own, n = self.forms[forms], np.full(len(codes), -1, np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
+            known = self.words[at] == codes
+            n[known], own[known] = self.n[at[known]], self.own[at[known]]
+        return own, n
+
+
+_UNIT = "word bigint, form int, n bigint, words bigint, own int, moved int, contexts array<struct<context: int, n: bigint>>"
+
+
+def context_counts(docs: DataFrame, classes: Classes, text: str = "text") -> DataFrame:
+    """(word, form, n, contexts): how often each word follows each context class; at most one entry per class."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, offsets in chunks(batch.column(0)):
+                codes, forms, bounds = _tokens(raw, offsets)
+                if not len(codes):
+                    continue
+                own, _ = shared.value.of(codes, forms)
+                place = forms * CLASSES + _before(own, bounds)
+                order = np.lexsort((place, codes))
+                codes, place = codes[order], place[order]
+                first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (place[1:] != place[:-1])))
+                n = np.diff(np.append(first, len(codes)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(codes[first]), pa.array(place[first].astype(np.int32)), pa.array(n)], ["word", "place", "n"]
+                )
+
+    pairs = docs.select(F.col(text).cast("string")).mapInArrow(paired, "word bigint, place int, n bigint")
+    entry = F.struct((F.col("place") % CLASSES).alias("context"), "n")
+    return (
+        pairs.groupBy("word", "place").agg(F.sum("n").alias("n"))
+        .groupBy("word")
+        .agg(F.floor(F.max("place") / CLASSES).cast("int").alias("form"), F.sum("n").alias("n"), F.sort_array(F.collect_list(entry)).alias("contexts"))
+    )
+
+
+def units(counted: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """What is clustered: words of ``min_count`` (form -1) and, as one for each form, the rarer words (word 0)."""
+    own = (F.col("n") >= min_count) | (F.col("word") == END)
+    words = counted.where(own).select("word", F.lit(-1).alias("form"), "n", F.lit(1).cast("long").alias("words"), "contexts")
+    rare = counted.where(~own)
+    cells = rare.select("form", F.explode("contexts").alias("c")).groupBy("form", "c.context").agg(F.sum("c.n").alias("n"))
+    contexts = cells.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("contexts"))
+    sizes = rare.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+    forms = sizes.join(contexts, "form").select(F.lit(0).cast("long").alias("word"), "form", "n", "words", "contexts")
+    return words.unionByName(forms)
+
+
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the contexts of each unit begin and end, the contexts, and their counts."""
+    lists = batch.column("contexts")
+    offsets = lists.offsets.to_numpy()
+    flat = lists.flatten()
+    return offsets - offsets[0], flat.field("context").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+
+
+def class_table(found: DataFrame) -> tuple[np.ndarray, int]:
+    """How often each class follows each context, and how many units the last round moved."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES + 1)
+        for batch in batches:
+            offsets, context, n = _cells(batch)
+            own = np.repeat(batch.column("own").to_numpy().astype(np.int64), np.diff(offsets))
+            total[:-1] += np.bincount(context * CLASSES + own, weights=n, minlength=CLASSES * CLASSES)
+            total[-1] += batch.column("moved").to_numpy().sum()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["cell", "n"])
+
+    cells = found.select("own", "moved", "contexts").mapInArrow(summed, "cell bigint, n bigint")
+    rows = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(CLASSES * CLASSES + 1)
+    total[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return total[:-1].reshape(CLASSES, CLASSES), int(total[-1])
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the log likelihood of the training tokens that depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def best_classes(own: np.ndarray, n: np.ndarray, offsets: np.ndarray, context: np.ndarray, held: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each unit that raises the likelihood most if it alone moves there; class 0 stays apart."""
+    size, now = table.sum(0), _xlogx(table)
+    out = own.copy()
+    for low in range(0, len(own), 1000):
+        high = min(low + 1000, len(own))
+        cut = slice(offsets[low], offsets[high])
+        c, v, starts = context[cut], held[cut].astype(float), offsets[low:high] - offsets[low]
+        at, mine, own_n = np.arange(high - low), own[low:high], n[low:high].astype(float)
+        here = np.repeat(mine, np.diff(offsets[low : high + 1]))
+        gain = np.add.reduceat(_xlogx(table[c] + v[:, None]) - now[c], starts) - (_xlogx(size + own_n[:, None]) - _xlogx(size))
+        stay = np.add.reduceat(now[c, here] - _xlogx(table[c, here] - v), starts) - (_xlogx(size[mine]) - _xlogx(size[mine] - own_n))
+        gain[:, 0] = -np.inf
+        gain[at, mine] = stay
+        best = gain.argmax(1)
+        out[low:high] = np.where(gain[at, best] > stay + 1e-6, best, mine)
+    return out
+
+
+def exchanged(found: DataFrame, table: np.ndarray, turn: int, parts: int) -> DataFrame:
+    """The units after one round, in which one of so many parts may move."""
+    shared = found.sparkSession.sparkContext.broadcast(table)
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, form = batch.column("word").to_numpy(), batch.column("form").to_numpy()
+            own = batch.column("own").to_numpy().astype(np.int64)
+            part = (mixed(word.view(_U) + form.astype(np.int64).view(_U)) % _U(parts)).astype(np.int64)
+            offsets, context, n = _cells(batch)
+            now = best_classes(own, batch.column("n").to_numpy(), offsets, context, n, shared.value) if len(own) else own
+            now = np.where((part == turn % parts) & (word != END), now, own)
+            columns = {"own": pa.array(now.astype(np.int32)), "moved": pa.array((now != own).astype(np.int32))}
+            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+    return found.mapInArrow(moved, _UNIT)
+
+
+def settled(found: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The units with their classes after rounds of exchange, and the table of classes."""
+    found = stored_once(found, "lm-units")
+    table, _ = class_table(found)
+    value, tokens, parts, gains = likelihood(table), max(table.sum(), 1.0), 2, []
+    for turn in range(ROUNDS):
+        after = stored_once(exchanged(found, table, turn, parts), "lm-units")
+        new, count = class_table(after)
+        gain = likelihood(new) - value
+        if gain < 0:
+            parts, gains = 2 * parts, []
+        else:
+            found, table, value = after, new, value + gain
+            gains = [*gains, gain if count else 0.0][-parts:]
+        if parts > MOST_PARTS or (len(gains) == parts and sum(gains) < LEAST_GAIN * tokens):
+            break
+    return found, table
+
+
+@dataclass
+class Model:
+    """Counts of words, classes of units, the classes as contexts and as broadcast classes, and the table between them."""
+
+    counts: DataFrame
+    units: DataFrame
+    contexts: Classes
+    classes: Classes
+    table: np.ndarray
+    step: np.ndarray
+    tokens: int
+    distinct: int
+
+
+def _classes(found: DataFrame, top: pa.Table) -> Classes:
+    """Classes of the frequent words and of the forms, taken from the units; a form without rare words has class 1."""
+    forms = np.ones(FORMS + 1, np.int64)
+    forms[FORMS] = 0
+    for row in found.where(F.col("form") >= 0).select("form", "own").collect():
+        forms[row["form"]] = row["own"]
+    words, n, form = (top[c].to_numpy() for c in ("word", "n", "form"))
+    own = forms[form]
+    least = int(n.min()) if len(n) else 0
+    named = found.where((F.col("form") < 0) & (F.col("n") >= least)).select("word", "own").toArrow() if len(n) else top.slice(0, 0)
+    if len(named):
+        order = np.argsort(words)
+        own[order[np.searchsorted(words, named["word"].to_numpy(), sorter=order)]] = named["own"].to_numpy()
+    return Classes(words, n, own, forms)
+
+
+def fitted(training: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> Model:
+    """The model of all training documents."""
     counts = stored_once(word_counts(training, text), "lm-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens, distinct = int(totals[0]), int(totals[1])
     top = most_frequent(counts, "n", FREQUENT)
     items = Items(top["word"].to_numpy(), top["n"].to_numpy())
-    pairs = item_pairs(training, items, text)
-    own = exchange(pairs)
-
-    # Words of each class: a named word is one of its item, all others belong to their form.
-    kinds = np.zeros(SIZE)
-    for row in counts.groupBy("form").count().collect():
-        kinds[1 + ITEMS + row["form"] if row["form"] < FORMS else 0] = row["count"]
-    named = dict(zip(top["word"].to_pylist(), top["form"].to_pylist(), strict=True))
-    for i, word in enumerate(items.named.tolist()):
-        kinds[1 + i] = 1
-        kinds[1 + ITEMS + named[word]] -= 1
-    mass = np.bincount(own, pairs.sum(0), CLASSES) + 0.5 * (np.bincount(own, kinds, CLASSES) + 1)
-    member = np.eye(CLASSES)[own]
-    table = member.T @ pairs @ member + 0.5
-    step = np.log10(table / table.sum(1, keepdims=True)) - np.log10(mass)[None, :]
-    shared = spark.sparkContext.broadcast((items, own, step))
+    seed = exchange(item_pairs(training, items, text))
+    forms = np.append(seed[1 + ITEMS :], 0)
+    item, _ = items.of(items.words, np.zeros(len(items.words), np.int64))
+    own = seed[item]
+    loose = (items.item < 0) & (items.words != END)
+    order = np.argsort(top["word"].to_numpy())
+    own[loose] = forms[top["form"].to_numpy()[order][loose]]
+    contexts = Classes(items.words, items.n, own, forms)
+
+    first = training.sparkSession.sparkContext.broadcast(contexts)
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, _ = first.value.of(batch.column("word").to_numpy(), batch.column("shape").to_numpy().astype(np.int64))
+            rest = {"own": pa.array(own.astype(np.int32)), "moved": pa.array(np.zeros(len(own), np.int32))}
+            names = ["word", "form", "n", "words", "own", "moved", "contexts"]
+            yield pa.RecordBatch.from_arrays([rest[c] if c in rest else batch.column(c) for c in names], names)
+
+    found, table = None, None
+    for _ in range(SWEEPS):
+        counted = stored_once(context_counts(training, contexts, text), "lm-contexts")
+        fresh = units(counted, min_count)
+        if found is None:
+            shapes = counts.select("word", F.col("form").alias("shape"))
+            fresh = fresh.join(shapes, "word", "left").withColumn("shape", F.coalesce("shape", F.greatest("form", F.lit(0))))
+            fresh = fresh.mapInArrow(begun, _UNIT)
+        else:
+            fresh = fresh.join(found.select("word", "form", "own"), ["word", "form"]).withColumn("moved", F.lit(0))
+            fresh = fresh.select("word", "form", "n", "words", "own", "moved", "contexts")
+        after, new = settled(fresh)
+        if found is not None and likelihood(new) < likelihood(table):
+            break
+        found, table, classes, used = after, new, _classes(after, top), contexts
+        contexts = classes
+
+    kinds = np.zeros(CLASSES)
+    for row in found.groupBy("own").agg(F.sum("words").alias("words")).collect():
+        kinds[row["own"]] = row["words"]
+    smooth = table + 0.5
+    mass = table.sum(0) + 0.5 * (kinds + 1)
+    step = np.log10(smooth / smooth.sum(1, keepdims=True)) - np.log10(mass)[None, :]
+    return Model(counts, found, used, classes, table, step, int(totals[0]), int(totals[1]))
+
+
+_RARE = pa.list_(pa.struct([("w", pa.int64()), ("p", pa.int32()), ("n", pa.int32())]))
+
+
+def _rare(codes: np.ndarray, place: np.ndarray, rare: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How many distinct (word, place) of rare words each row has, then these with their counts."""
+    rows = len(bounds) - 1
+    row = np.repeat(np.arange(rows), np.diff(bounds))[rare]
+    codes, place = codes[rare], place[rare]
+    order = np.lexsort((place, codes, row))
+    row, codes, place = row[order], codes[order], place[order]
+    new = (row[1:] != row[:-1]) | (codes[1:] != codes[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(np.append(True, new)) if len(row) else np.zeros(0, np.int64)
+    return np.bincount(row[first], minlength=rows), codes[first], place[first], np.diff(np.append(first, len(row)))
+
+
+def scored(docs: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with n_tokens, n_known, train_tokens, base_score and score instead of their text."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = fitted(training, text)
+    tokens, distinct = model.tokens, model.distinct
+    shared = spark.sparkContext.broadcast((model.contexts, model.classes, model.step))
 
     others = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     cut = docs.select(*[f"`{c}`" for c in others], F.col(text).cast("string").alias("__text"))
     extra = [("__tokens", pa.int64()), ("__known", pa.int64()), ("__logs", pa.float64()), ("__steps", pa.float64()), ("__rare", _RARE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, own, step = shared.value
+        contexts, classes, step = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in extra]
             for _, _, raw, offsets in chunks(batch.column(batch.num_columns - 1)):
                 codes, forms, bounds = _tokens(raw, offsets)
-                item, n = items.of(codes, forms)
-                kind = own[item]
+                context = _before(contexts.of(codes, forms)[0], bounds)
+                own, n = classes.of(codes, forms)
                 per = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731  every row has its end
                 out[0].append(np.diff(bounds))
                 out[1].append(per((n > 0).astype(np.int64)))
                 out[2].append(per(np.where(n > 0, np.log10(np.maximum(n, 0) + 0.5), 0.0)))
-                out[3].append(per(step[_before(kind, bounds), kind]))
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    rare = codes[a:b][n[a:b] < 0]
-                    out[4].append(np.unique(rare, return_counts=True))
+                out[3].append(per(np.where(n >= 0, step[context, own], 0.0)))
+                out[4].append(_rare(codes, forms * CLASSES + context, n < 0, bounds))
             columns = [pa.array(np.concatenate(x) if x else np.zeros(0), t) for x, (_, t) in zip(out[:4], extra, strict=False)]
-            lengths = np.array([len(w) for w, _ in out[4]], np.int64)
-            cells = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate([x[i] for x in out[4]]) if len(lengths) else np.zeros(0), t) for i, t in enumerate((pa.int64(), pa.int32()))],
-                ["w", "n"],
-            )
+            joined = [np.concatenate([x[i] for x in out[4]]) if out[4] else np.zeros(0, np.int64) for i in range(4)]
+            lengths = joined[0]
+            cells = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(joined[1:], _RARE.value_type, strict=True)], ["w", "p", "n"])
             rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), cells)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns, rare], names=[*batch.schema.names[:-1], *[x for x, _ in extra]])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-1]]
-    schema = ", ".join([*fields, "__tokens bigint, __known bigint, __logs double, __steps double, __rare array<struct<w: bigint, n: int>>"])
+    schema = ", ".join([*fields, "__tokens bigint, __known bigint, __logs double, __steps double, __rare array<struct<w: bigint, p: int, n: int>>"])
     local = stored_once(cut.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-local")
-    rare = local.select("__row", F.explode("__rare").alias("r")).select("__row", F.col("r.w").alias("word"), F.col("r.n").alias("k"))
-    known = rare.join(counts.select("word", "n"), "word", "left")
+    rare = local.select("__row", F.explode("__rare").alias("r")).select(
+        "__row", F.col("r.w").alias("word"), F.floor(F.col("r.p") / CLASSES).cast("int").alias("form"), (F.col("r.p") % CLASSES).alias("context"),
+        F.col("r.n").alias("k"),
+    )
+    own = model.units.where(F.col("form") < 0).select("word", "own")
+    known = rare.join(model.counts.select("word", "n").join(own, "word", "left"), "word", "left")
+    by_form = F.array(*[F.lit(int(c)) for c in model.classes.forms])
+    cells = [(g, c, float(model.step[g, c])) for g in range(CLASSES) for c in range(CLASSES)]
+    steps = spark.createDataFrame(pa.table({k: [x[i] for x in cells] for i, k in enumerate(("context", "own", "step"))}))
+    steps = steps.select(F.col("context").cast("int"), F.col("own").cast("int"), "step")
+    known = known.withColumn("own", F.coalesce("own", F.get(by_form, F.col("form")))).join(steps, ["context", "own"])
     log = lambda n: F.log10(F.coalesce(n, F.lit(0)).cast("double") + 0.5)
     sums = known.groupBy("__row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("__more"), F.sum(F.col("k") * log(F.col("n"))).alias("__rest")
+        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("__more"),
+        F.sum(F.col("k") * log(F.col("n"))).alias("__rest"),
+        F.sum(F.col("k") * F.col("step")).alias("__path"),
     )
     logs: Column = F.col("__logs") + F.coalesce("__rest", F.lit(0.0))
     return local.join(sums, "__row", "left").select(
@@ -255,8 +506,5 @@ def scored(docs: DataFrame, training: DataFrame, text: str = "text") -> DataFram
         (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (logs - F.col("__tokens") * float(np.log10(tokens + 0.5 * (distinct + 1)))).alias("base_score"),
-        (logs + F.col("__steps")).alias("score"),
+        (logs + F.col("__steps") + F.coalesce("__path", F.lit(0.0))).alias("score"),
     )
-
-
-_RARE = pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int32())]))
