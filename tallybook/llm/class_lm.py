@@ -48,7 +48,7 @@ SWEEPS = 2
 #: Rounds of one sweep at most; it ends by the likelihood long before.
 ROUNDS = 40
 MOST_PARTS = 16
-LEAST_GAIN = 1e-3
+LEAST_GAIN = 1e-2
 _U = np.uint64
 #: The code of the end of a text.
 END = -1
