@@ -7,6 +7,7 @@ from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry_module
 from conftest import DATA
@@ -14,6 +15,7 @@ from tallybook.bindings import stored_lines_star
 from tallybook.operators.merging import insert_ignore
 from tallybook.operators.ranking import global_ranks
 from tallybook.plans import books, customers, overview, sales, summaries, views
+from tallybook.sources import feeds
 from tallybook.sources.tables import create_star
 
 
@@ -106,3 +108,14 @@ def test_no_python_in_any_plan_and_no_cross_product(spark, name):
     text = plan(entry_module.queries()[name](spark, f"{DATA}/sf0.001"))
     assert not NO_PYTHON.search(text)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_bulk_load_parses_and_converts_a_line_once(spark, tmp_path, multi_line):
+    (tmp_path / "f.csv").write_text("a,b\n1,2024-01-02 00:00:00\nx,2024-01-02 00:00:00\n3\n")
+    loaded, rejected = feeds.copy_csv(spark, str(tmp_path / "f.csv"), T.StructType.fromDDL("a bigint, b timestamp_ntz"), multi_line=multi_line)
+    for df in (loaded, rejected):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        # A nested data frame's plan names the parser once.
+        assert text.count("from_csv(") == 1 and text.count("try_cast(") <= 3
+    assert loaded.count() == 1 and sorted(r["a"] for r in rejected.collect()) == ["3", "x"]
