@@ -119,3 +119,17 @@ def test_bulk_load_parses_and_converts_a_line_once(spark, tmp_path, multi_line):
         # A nested data frame's plan names the parser once.
         assert text.count("from_csv(") == 1 and text.count("try_cast(") <= 3
     assert loaded.count() == 1 and sorted(r["a"] for r in rejected.collect()) == ["3", "x"]
+
+
+def test_files_of_texts_follow_the_size_of_the_table(spark):
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB"}
+    queries = [entry_module.queries()[name] for name in ("s01_read_feed_text", "s03_write_csv_text")]
+    assert [len(query(spark, f"{DATA}/sf0.001").inputFiles()) for query in queries] == [1, 1]
+    before = {name: spark.conf.get(name) for name in small}
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        assert all(len(query(spark, f"{DATA}/sf0.01").inputFiles()) > 1 for query in queries)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
