@@ -245,3 +245,18 @@ def test_resampling_of_empty_tables(spark):
     docs, none = table(spark, EDGES), spark.createDataFrame([], "text string")
     assert importance.resampled(docs.limit(0), none).collect() == []
     assert importance.resampled(docs, none).where(F.col("rank").isNotNull()).count() == 0
+
+
+def test_known_pieces_take_16_bytes_each(monkeypatch):
+    """Pieces are looked up in sorted codes, not in a table of Python objects; across chunks, after forgetting and in long texts too."""
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 1500)
+    monkeypatch.setattr(token_files, "POWERS", 20_000)
+    library, encoder = Tokenizer.from_file(BYTE_BPE), token_files.Encoder(open(BYTE_BPE, encoding="utf-8").read())
+    token_files._powers.cache_clear()
+    texts = [" ".join(f"w{(i * 37 + j * j) % 997} é{j % 11}." for j in range(400 if i != 5 else 4000)) for i in range(12)]
+    for text in ["", *texts, *texts]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, sizes = encoder.encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids)]
+        assert encoder.codes.nbytes + encoder.numbers.nbytes == 16 * len(encoder.starts[1:]) and (np.diff(encoder.codes.astype(object)) > 0).all()
+    token_files._powers.cache_clear()
