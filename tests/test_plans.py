@@ -16,6 +16,7 @@ from tallybook.operators.merging import insert_ignore
 from tallybook.operators.ranking import global_ranks
 from tallybook.plans import books, customers, overview, sales, summaries, views
 from tallybook.sources import feeds
+from tallybook.sources.keyfilter import key_filters
 from tallybook.sources.tables import create_star
 
 
@@ -133,3 +134,9 @@ def test_files_of_texts_follow_the_size_of_the_table(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_key_filters_sort_one_row_per_key(spark):
+    keys = spark.range(1000).select("id", F.lit("f").alias("file"))
+    assert "explode(array(pmod" not in plan(key_filters(keys, "id", "file"))
+    assert key_filters(keys, "id", "file").agg(F.max(F.bitmap_count("bits"))).first()[0] <= 8 * 1000
