@@ -260,3 +260,20 @@ def test_known_pieces_take_16_bytes_each(monkeypatch):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids)]
         assert encoder.codes.nbytes + encoder.numbers.nbytes == 16 * len(encoder.starts[1:]) and (np.diff(encoder.codes.astype(object)) > 0).all()
     token_files._powers.cache_clear()
+
+
+def test_a_full_memory_keeps_pieces_met_again(monkeypatch):
+    """Frequent pieces are not handed to the library again when the memory is full, and texts for the library are short."""
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 1500)
+    library, encoder = Tokenizer.from_file(BYTE_BPE), token_files.Encoder(open(BYTE_BPE, encoding="utf-8").read())
+    learned, longest, learn, ids_of = Counter(), [], encoder._learn, encoder._ids
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: (learned.update(pieces), learn(pieces)))
+    monkeypatch.setattr(encoder, "_ids", lambda pieces: (longest.append(len(pieces)), ids_of(pieces))[1])
+    common = " ".join(f"common{i}" for i in range(300))
+    for i in range(40):
+        text = common + " ".join(f" rare{i * 400 + j}x" for j in range(400)) + (" a<|endoftext|>b" if i % 7 == 3 else "")
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, sizes = encoder.encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids)]
+    assert max(n for piece, n in learned.items() if piece.startswith(b" common")) == 1
+    assert len(encoder.codes) <= 1500 + 701 and max(longest) <= token_files.PIECES_A_CALL
