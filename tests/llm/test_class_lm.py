@@ -113,3 +113,30 @@ def test_rare_words_of_rows():
     sizes, word, at, n = class_lm._rare(codes, place, np.array([True] * 5 + [False]), np.array([0, 3, 3, 6]))
     assert (sizes.tolist(), word.tolist(), at.tolist(), n.tolist()) == ([2, 0, 2], [5, 9, 5, 5], [1, 2, 1, 3], [2, 1, 1, 1])
     assert pa.array(n).type == pa.int64()
+
+
+def test_places_and_contexts_are_those_of_a_plain_count(spark, monkeypatch):
+    """Words whose codes share their first bits, counts handed on in parts, words over several batches; frequent pairs leave a task once."""
+    words = np.sort(np.array([class_lm.END, 5, 6, 7, 1 << 50, (1 << 50) + 1, -(1 << 60), (1 << 63) - 1], np.int64))
+    codes = np.append(words, [0, 8, 1 << 49, -2, -(1 << 63), (1 << 50) + 2])
+    at, known = class_lm.Places(words).of(codes)
+    assert known.tolist() == [c in set(words.tolist()) for c in codes.tolist()] and (words[at[known]] == codes[known]).all()
+
+    monkeypatch.setattr(class_lm, "MOST_HELD", 200)
+    texts = [t for _, t in corpus(7, 60)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    codes, forms, bounds = class_lm._tokens(raw, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    found, first = np.unique(codes, return_index=True)
+    some = found[:: 2]
+    classes = class_lm.Classes(some, np.ones(len(some), np.int64), 1 + np.arange(len(some)) % 63, np.append(1 + np.arange(class_lm.FORMS) % 63, 0))
+    plain = Counter(zip(codes.tolist(), class_lm._before(classes.of(codes, forms)[0], bounds).tolist(), strict=True))
+    monkeypatch.setattr(class_lm, "chunks", lambda column, _cut=class_lm.chunks: _cut(column, 300))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = class_lm.context_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), classes).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counted = {(r["word"], c): n for r in rows for c, n in zip(r["contexts"], np.frombuffer(r["counts"], "<i8").tolist(), strict=True)}
+    assert counted == plain and len(rows) == len(found)
+    assert {r["word"]: r["form"] for r in rows} == dict(zip(found.tolist(), forms[first].tolist(), strict=True))
+    assert all(r["n"] == sum(n for (w, _), n in plain.items() if w == r["word"]) for r in rows)
