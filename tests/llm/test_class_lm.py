@@ -140,3 +140,16 @@ def test_places_and_contexts_are_those_of_a_plain_count(spark, monkeypatch):
     assert counted == plain and len(rows) == len(found)
     assert {r["word"]: r["form"] for r in rows} == dict(zip(found.tolist(), forms[first].tolist(), strict=True))
     assert all(r["n"] == sum(n for (w, _), n in plain.items() if w == r["word"]) for r in rows)
+
+
+def test_context_counts_meet_as_one_row_per_word(spark):
+    """A map task hands on a row per word with all its contexts, not a row per word and context."""
+    texts = [(" ".join(f"w{a} x" for a in range(200)),)] * 4
+    classes = class_lm.Classes(*(np.zeros(0, np.int64) for _ in range(3)), 1 + np.arange(class_lm.FORMS + 1) % (class_lm.CLASSES - 1))
+    found = class_lm.context_counts(spark.createDataFrame(texts, "text string").coalesce(1), classes)
+    x = next(r for r in found.collect() if max(map(len, (r["contexts"],))) > 5)
+    assert x["n"] == 4 * 200 and len(x["counts"]) == 8 * len(x["contexts"])
+    assert sum(np.frombuffer(x["counts"], "<i8")) == x["n"]
+    nodes = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(nodes) if "Exchange hashpartitioning(word" in line)
+    assert "contexts" in nodes[dealt + 1]
